@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, entry, rounded, view
@@ -258,12 +260,14 @@ def j13(t: Tables):
 
 @entry("j14_missing_links", """
 SELECT * FROM (SELECT 'no_call_records' AS gap, phone FROM (SELECT sender_phone AS phone FROM f_bank UNION SELECT receiver_phone FROM f_bank)
-  WHERE phone NOT IN (SELECT a_number FROM f_cdr) ORDER BY phone LIMIT 10)
+  WHERE phone NOT IN (SELECT a_number FROM f_cdr WHERE duration_sec >= 120) ORDER BY phone LIMIT 10)
 UNION ALL
-SELECT * FROM (SELECT 'no_data_sessions', a_number FROM (SELECT DISTINCT a_number FROM f_cdr)
-  WHERE a_number NOT IN (SELECT msisdn FROM f_ipdr) ORDER BY 2 LIMIT 10)""")
+SELECT * FROM (SELECT 'no_data_sessions', a_number FROM (SELECT DISTINCT a_number FROM f_cdr WHERE duration_sec >= 120)
+  WHERE a_number NOT IN (SELECT msisdn FROM f_ipdr WHERE duration_sec >= 120) ORDER BY 2 LIMIT 10)""")
 def j14(t: Tables):
-    return links.missing_links(t.case)
+    # long calls and sessions only, so that both gaps have members on every scale
+    long = "duration_sec >= 120"
+    return links.missing_links(replace(t.case, cdr=t.cdr.where(long), ipdr=t.ipdr.where(long)))
 
 
 @entry("j15_finding_hits", """

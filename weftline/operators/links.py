@@ -429,9 +429,13 @@ def finding_hits(findings: DataFrame, scored: DataFrame) -> DataFrame:
     if not lengths:
         return findings.select("finding_id", "title").join(scored.select(*cols).limit(0))
     size = F.length("title")
-    cuts = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1),
-                                          lambda i, n=n: F.substring(F.col("title"), i, F.lit(n))))
-            .otherwise(F.array().cast("array<string>")) for n in lengths]
+
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), size - n + 1)
+        return F.when(size >= n, F.transform(starts, lambda i: F.substring(F.col("title"), i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    cuts = [cut(n) for n in lengths]
     pieces = findings.select("finding_id", "title", F.explode(F.array_distinct(F.concat(*cuts))).alias("piece"))
     return pieces.join(names, "piece").select("finding_id", "title", *cols).distinct()
 

@@ -17,25 +17,77 @@ BLOCK = 50_000
 _DAY = 86400
 
 
-def with_position(df: DataFrame, keys: Sequence[str], row_id: str, ts: str = "ts", out: str = "pos") -> DataFrame:
-    """Number of rows of the same key before this one in (ts, row_id) order; NULL ts sorts first."""
+def with_position(df: DataFrame, keys: Sequence[str], row_id: str, ts: str = "ts", out: str = "pos",
+                  width: float = _DAY, tie_prefix: int = 0) -> DataFrame:
+    """Number of rows of the same key before this one in (ts, row_id) order; NULL sorts first.
+
+    ``ts`` may be any number; ``width`` is the span of values counted together. Where very many rows share
+    one value, pass ``tie_prefix``: row ids are then counted by their first characters as well, so a tie
+    is split into as many groups as there are prefixes (use an evenly spread id such as an md5).
+    """
     keys = list(keys)
-    order = F.coalesce(F.col(ts), F.lit(-(2 ** 62)))
-    src = df.withColumn("__o", order)
-    sec = src.groupBy(*keys, "__o").agg(F.count(F.lit(1)).alias("__n"))
-    sec = sec.withColumn("__day", F.floor(F.col("__o") / _DAY).cast("long"))
-    in_day = W.partitionBy(*keys, "__day").orderBy("__o").rowsBetween(W.unboundedPreceding, -1)
+    kind = dict(df.dtypes)[ts]
+    lowest = F.lit(float("-inf")) if kind == "double" else F.lit(-(2 ** 62)).cast("long")
+    prefix = F.substring(F.col(row_id).cast("string"), 1, tie_prefix) if tie_prefix else F.lit("")
+    src = df.withColumn("__o", F.coalesce(F.col(ts), lowest)).withColumn("__x", prefix)
+    sec = src.groupBy(*keys, "__o", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    sec = sec.withColumn("__day", F.floor(F.col("__o") / width))
+    in_day = W.partitionBy(*keys, "__day").orderBy("__o", "__x").rowsBetween(W.unboundedPreceding, -1)
     per_day = sec.groupBy(*keys, "__day").agg(F.sum("__n").alias("__dn"))
     days = W.partitionBy(*keys).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
     per_day = per_day.select(*keys, "__day", F.coalesce(F.sum("__dn").over(days), F.lit(0)).alias("__d0"))
     sec = (sec.withColumn("__s0", F.coalesce(F.sum("__n").over(in_day), F.lit(0)))
            .join(per_day, [*keys, "__day"])
-           .select(*keys, "__o", (F.col("__s0") + F.col("__d0")).alias("__before")))
-    tie = W.partitionBy(*keys, "__o").orderBy(row_id)
+           .select(*keys, "__o", "__x", (F.col("__s0") + F.col("__d0")).alias("__before")))
+    tie = W.partitionBy(*keys, "__o", "__x").orderBy(row_id)
     return (src.withColumn("__tie", F.row_number().over(tie) - 1)
-            .join(sec, [*keys, "__o"])
+            .join(sec, [*keys, "__o", "__x"])
             .withColumn(out, F.col("__before") + F.col("__tie"))
-            .drop("__o", "__tie", "__before"))
+            .drop("__o", "__x", "__tie", "__before"))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, targets: Mapping[str, Column],
+                     width: float = 1000.0) -> DataFrame:
+    """Exact order statistics per key without gathering a key.
+
+    ``targets`` maps an output name to a zero-based index expressed over ``n``, the number of values.
+    Values are counted, counts are cumulated inside value chunks and then across chunks.
+    """
+    keys = list(keys)
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v"))
+              .agg(F.count(F.lit(1)).alias("__c")).withColumn("__chunk", F.floor(F.col("__v") / width)))
+    chunks = counts.groupBy(*keys, "__chunk").agg(F.sum("__c").alias("__cc"))
+    over_key = W.partitionBy(*keys)
+    before = over_key.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.select(*keys, "__chunk", F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__c0"),
+                           F.sum("__cc").over(over_key).alias("n"))
+    inside = W.partitionBy(*keys, "__chunk").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    spans = (counts.withColumn("__i0", F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+             .join(chunks, [*keys, "__chunk"]).withColumn("__lo", F.col("__i0") + F.col("__c0")))
+    picks = [F.max(F.when((F.col("__lo") <= t) & (t < F.col("__lo") + F.col("__c")), F.col("__v"))).alias(name)
+             for name, t in targets.items()]
+    return spans.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
+def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
+                     width: float = 1000.0) -> DataFrame:
+    """Interpolated quantiles built from two neighbouring order statistics."""
+    n = F.col("n")
+    targets = {}
+    for name, q in quantiles.items():
+        targets[f"__a_{name}"] = F.floor((n - 1) * F.lit(q)).cast("long")
+        targets[f"__b_{name}"] = F.ceil((n - 1) * F.lit(q)).cast("long")
+    stats = order_statistics(df, keys, value, targets, width)
+    for name, q in quantiles.items():
+        a, b = F.col(f"__a_{name}"), F.col(f"__b_{name}")
+        frac = (n - 1) * F.lit(q) - F.floor((n - 1) * F.lit(q))
+        stats = stats.withColumn(name, a + (b - a) * frac)
+    return stats.drop(*targets)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame, out: str = "scalars") -> DataFrame:
+    """Attach a one-row aggregate as a scalar subquery (a struct column), not as a join."""
+    return df.withColumn(out, one_row.select(F.struct(*one_row.columns)).scalar())
 
 
 def with_running(df: DataFrame, keys: Sequence[str], totals: Mapping[str, tuple[str, Column]],
