@@ -71,24 +71,31 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def _mentions(text: str) -> list[str]:
+    words = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text))
+    return [name for name in VIEWS if name in words]
+
+
 def oracle(sql: str) -> str:
-    """Prefix the fragments a check mentions, in definition order."""
-    needed: set[str] = set()
-    todo = [sql]
-    while todo:
-        text = todo.pop()
-        for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                todo.append(VIEWS[name])
+    """Prefix the fragments a check mentions, each after those it builds on."""
+    needed: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in needed:
+            for other in _mentions(VIEWS[name]):
+                if other != name:
+                    visit(other)
+            needed.append(name)
+
+    for name in _mentions(sql):
+        visit(name)
+    if not needed:
+        return sql
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
     body = sql[own.end():] if own else sql
-    parts = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed]
-    if not parts:
-        return sql
-    recursive = any("UNION" in VIEWS[n] and re.search(rf"\bFROM {n}\b", VIEWS[n]) for n in needed) or bool(own and own.group(1))
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(parts) + (",\n" if own else "\n") + body
+    recursive = (own and own.group(1)) or any(n in _mentions(VIEWS[n]) for n in needed)
+    return (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+            + (",\n" if own else "\n") + body)
 
 
 def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
