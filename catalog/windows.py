@@ -63,7 +63,7 @@ view("veloc", """
 
 @entry("w8_velocity", "SELECT txn_id, velocity FROM veloc")
 def w8(t: Tables):
-    return ft.with_velocity(t.bank.withColumn("customer", ft.CUSTOMER)).select("txn_id", "velocity")
+    return ft.with_velocity(t.bank.withColumn("customer", ft.customer_key())).select("txn_id", "velocity")
 
 
 view("base", """

@@ -17,7 +17,10 @@ from weftline.operators.links import any_amount, both_ends
 from weftline.operators.ordering import (linear_quantiles, order_statistics, with_position, with_running,
                                          with_scalars, with_trailing_rows)
 
-CUSTOMER = F.coalesce(F.col("customer_id"), F.col("account_no"))
+
+
+def customer_key() -> Column:
+    return F.coalesce(F.col("customer_id"), F.col("account_no"))
 
 
 def _sum_or_zero(c: str) -> Column:
@@ -93,7 +96,7 @@ def history_features(bank: DataFrame) -> DataFrame:
 
 def with_prior_history(bank: DataFrame) -> DataFrame:
     """Adds ``customer``, ``prior_n`` and ``first_beneficiary`` (first payment to that receiver)."""
-    rows = with_position(bank.withColumn("customer", CUSTOMER), ["customer"], "txn_id", out="prior_n")
+    rows = with_position(bank.withColumn("customer", customer_key()), ["customer"], "txn_id", out="prior_n")
     firsts = (rows.where("receiver_account is not null").groupBy("customer", "receiver_account")
               .agg(F.min_by("txn_id", F.struct("ts", "txn_id")).alias("txn_id"))
               .select("txn_id", F.lit(True).alias("first_beneficiary")))
@@ -103,7 +106,7 @@ def with_prior_history(bank: DataFrame) -> DataFrame:
 
 def customer_baseline(bank: DataFrame) -> DataFrame:
     """Per customer: upper-middle median, true median, usual hour (earliest of the most frequent)."""
-    rows = bank.select(CUSTOMER.alias("customer"), any_amount().alias("amt"),
+    rows = bank.select(customer_key().alias("customer"), any_amount().alias("amt"),
                        local_hour(F.col("time"), F.col("ts")).alias("hour"))
     n = F.col("n")
     med = order_statistics(rows, ["customer"], "amt", {
@@ -116,7 +119,7 @@ def customer_baseline(bank: DataFrame) -> DataFrame:
 
 def daily_rates(bank: DataFrame) -> DataFrame:
     """Per (customer, day) payment count with the customer's upper-median daily count."""
-    per_day = (bank.where("date is not null").groupBy(CUSTOMER.alias("customer"), "date")
+    per_day = (bank.where("date is not null").groupBy(customer_key().alias("customer"), "date")
                .agg(F.count(F.lit(1)).alias("day_count")))
     med = order_statistics(per_day, ["customer"], "day_count", {"day_median": F.floor(F.col("n") / 2).cast("long")})
     return per_day.join(med.select("customer", "day_median"), "customer")
@@ -161,7 +164,10 @@ def novelty(case: Case, firsts: DataFrame, hi: int, out: str) -> DataFrame:
     return sides.join(totals, ["phone", "ts"]).select("txn_id", out)
 
 
-CELL = F.coalesce(F.col("bts_location_first"), F.col("cell_id_first"))
+def cell_key() -> Column:
+    return F.coalesce(F.col("bts_location_first"), F.col("cell_id_first"))
+
+
 
 TXN_FEATURES = ("log_amount", "log_ratio", "hour_dev", "round_flag", "burst_count", "new_beneficiary", "call_count",
                 "ipdr_sessions", "novel_imei", "novel_cell", "prior_n", "night_flag")
@@ -175,7 +181,7 @@ def transaction_matrix(case: Case) -> DataFrame:
                          is_call(F.col("call_type"), F.col("duration_sec"), CALL_TYPES_VOICE))
     sess = session_context(case, {"ipdr_sessions": (-1800, 1800, "n")})
     imei = novelty(case, first_seen(case.cdr, "imei", "a_number", "ts"), 3599, "imei_n")
-    cell = novelty(case, first_seen(case.cdr.withColumn("cell", CELL), "cell", "a_number", "ts"), 3599, "cell_n")
+    cell = novelty(case, first_seen(case.cdr.withColumn("cell", cell_key()), "cell", "a_number", "ts"), 3599, "cell_n")
     hour = local_hour(F.col("time"), F.col("ts"))
     amt = any_amount()
     ratio = F.when(F.col("median") > 0, amt / F.col("median")).otherwise(0.0)
@@ -249,7 +255,7 @@ def account_matrix(case: Case) -> DataFrame:
                                              F.count_distinct("upi_id").alias("uniq_upi"))
     p99 = linear_quantiles(rows, ["account_no"], "amt", {"p99": 0.99}).select("account_no", "p99")
     day = F.coalesce("date", ist_day(F.col("ts")))
-    daily = (rows.where(day.isNotNull()).groupBy("account_no", CUSTOMER.alias("customer"), day.alias("day"))
+    daily = (rows.where(day.isNotNull()).groupBy("account_no", customer_key().alias("customer"), day.alias("day"))
              .agg(F.count(F.lit(1)).alias("k")))
     avg_daily = daily.groupBy("account_no").agg(F.avg("k").alias("avg_daily"))
     max_daily = (daily.groupBy("account_no", "day").agg(F.sum("k").alias("k")).groupBy("account_no")
@@ -453,14 +459,14 @@ def _dimensions(bank: DataFrame) -> DataFrame:
             dims[optional] = F.col(optional)
     pairs = [F.struct(F.lit(k).alias("dim"), v.cast("string").alias("value")) for k, v in dims.items()]
     pairs += [F.struct(F.lit("phone").alias("dim"), F.col(p).alias("value")) for p in ("sender_phone", "receiver_phone")]
-    return (bank.select(CUSTOMER.alias("customer"), F.explode(F.array(*pairs)).alias("d"))
+    return (bank.select(customer_key().alias("customer"), F.explode(F.array(*pairs)).alias("d"))
             .select("customer", "d.dim", "d.value").where("customer is not null and value is not null"))
 
 
 def profiles(bank: DataFrame) -> DataFrame:
     """Customer profile: amounts, preferred values (ties: smallest), span."""
     amt, hour = any_amount(), local_hour(F.col("time"), F.col("ts"))
-    rows = bank.withColumns({"customer": CUSTOMER, "amt": amt}).where("customer is not null")
+    rows = bank.withColumns({"customer": customer_key(), "amt": amt}).where("customer is not null")
     core = rows.groupBy("customer").agg(
         F.count(F.lit(1)).alias("txn_count"), F.avg("amt").alias("avg_amount"), F.max("amt").alias("max_amount"),
         F.sum("amt").alias("total_amount"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
@@ -482,7 +488,7 @@ def profiles(bank: DataFrame) -> DataFrame:
 
 def profile_deviation(bank: DataFrame) -> DataFrame:
     """How far each payment departs from its customer's profile, with reasons."""
-    rows = with_position(bank.withColumn("customer", CUSTOMER), ["customer"], "txn_id")
+    rows = with_position(bank.withColumn("customer", customer_key()), ["customer"], "txn_id")
     rows = with_trailing_rows(rows, ["customer"], 2, {"prev_ts": ("lag", F.col("ts"))})
     p = profiles(bank).withColumnRenamed("last_ts", "profile_last").withColumnRenamed("first_ts", "profile_first")
     r = rows.join(p, "customer", "left")

@@ -12,7 +12,7 @@ from weftline.case import Case
 from weftline.functions.clock import has_clock, ist_day, local_hour, odd_hour
 from weftline.functions.scoring import band, capped_sum, confidence, fired, is_call, is_round, rule
 from weftline.operators.bands import band_pairs
-from weftline.operators.features import (CELL, CUSTOMER, call_context, customer_baseline, daily_rates, day_granular,
+from weftline.operators.features import (cell_key, customer_key, call_context, customer_baseline, daily_rates, day_granular,
                                          first_seen, novelty, session_context, with_prior_history, with_velocity)
 from weftline.operators.links import any_amount, both_ends, complained_accounts
 from weftline.operators.ordering import with_scalars
@@ -101,7 +101,7 @@ def new_pairs(case: Case) -> DataFrame:
 
 def location_context(case: Case) -> DataFrame:
     """Per payment: cells first used within the hour after it, earliest cell time, rare cells near it."""
-    cells = case.cdr.withColumn("cell", CELL)
+    cells = case.cdr.withColumn("cell", cell_key())
     firsts = first_seen(cells, "cell", "a_number", "ts")
     new = novelty(case, firsts, HOUR - 1, "new_cells")
     start = firsts.groupBy("phone").agg(F.min("ts").alias("first_cell_ts"))
@@ -266,7 +266,7 @@ def identifier_accounts(case: Case) -> DataFrame:
     b = case.bank.withColumn("account", F.coalesce("account_no", "customer_id")).where("account is not null")
     pairs = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (
         ("phone", "sender_phone"), ("phone", "receiver_phone"), ("upi", "upi_id"), ("beneficiary", "receiver_account"))]
-    pairs.append(F.struct(F.lit("customer").alias("kind"), CUSTOMER.alias("value")))
+    pairs.append(F.struct(F.lit("customer").alias("kind"), customer_key().alias("value")))
     pay = (b.select("account", F.explode(F.array(*pairs)).alias("p")).select("p.kind", "p.value", "account")
            .where("value is not null").distinct())
     owner = pay.where("kind = 'phone'").select(F.col("value").alias("phone"), "account")

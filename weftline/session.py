@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage stops here and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-package-")) / root.name), "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._weftline_shipped = True
