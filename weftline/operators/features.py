@@ -173,31 +173,21 @@ TXN_FEATURES = ("log_amount", "log_ratio", "hour_dev", "round_flag", "burst_coun
                 "ipdr_sessions", "novel_imei", "novel_cell", "prior_n", "night_flag")
 
 
-def transaction_matrix(case: Case) -> DataFrame:
+def transaction_matrix(case: Case, context: DataFrame | None = None) -> DataFrame:
     """Twelve features per payment."""
-    bank = with_velocity(with_prior_history(case.bank))
-    base = customer_baseline(case.bank)
-    calls = call_context(case, {"call_count": (-3600, -1, "n")},
-                         is_call(F.col("call_type"), F.col("duration_sec"), CALL_TYPES_VOICE))
-    sess = session_context(case, {"ipdr_sessions": (-1800, 1800, "n")})
-    imei = novelty(case, first_seen(case.cdr, "imei", "a_number", "ts"), 3599, "imei_n")
-    cell = novelty(case, first_seen(case.cdr.withColumn("cell", cell_key()), "cell", "a_number", "ts"), 3599, "cell_n")
-    hour = local_hour(F.col("time"), F.col("ts"))
-    amt = any_amount()
+    from weftline.operators.context import payment_context
+
+    rows = context if context is not None else payment_context(case)
+    amt, hour = any_amount(), F.col("hour")
     ratio = F.when(F.col("median") > 0, amt / F.col("median")).otherwise(0.0)
-    rows = reduce(lambda d, o: d.join(o, "txn_id", "left"), [calls, sess, imei, cell],
-                  bank.join(base, "customer", "left"))
-    dbl = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    dbl = lambda c, name: c.cast("double").alias(name)
     return rows.select(
         "txn_id", F.log1p(amt).alias("log_amount"), F.log1p(F.greatest(ratio, F.lit(0.0))).alias("log_ratio"),
-        F.when((hour >= 0) & F.col("hour_mode").isNotNull(), F.abs(hour - F.col("hour_mode"))).otherwise(-1)
-        .cast("double").alias("hour_dev"),
-        is_round(amt).cast("double").alias("round_flag"), dbl(F.col("velocity")).alias("burst_count"),
-        F.col("first_beneficiary").cast("double").alias("new_beneficiary"),
-        dbl(F.col("call_count")).alias("call_count"), dbl(F.col("ipdr_sessions")).alias("ipdr_sessions"),
-        (dbl(F.col("imei_n")) > 0).cast("double").alias("novel_imei"),
-        (dbl(F.col("cell_n")) > 0).cast("double").alias("novel_cell"),
-        F.col("prior_n").cast("double").alias("prior_n"), odd_hour(hour).cast("double").alias("night_flag"))
+        dbl(F.when((hour >= 0) & F.col("hour_mode").isNotNull(), F.abs(hour - F.col("hour_mode"))).otherwise(-1), "hour_dev"),
+        dbl(is_round(amt), "round_flag"), dbl(F.col("velocity"), "burst_count"), dbl(F.col("first_beneficiary"), "new_beneficiary"),
+        dbl(F.col("voice_calls_hour"), "call_count"), dbl(F.col("sessions_near"), "ipdr_sessions"),
+        dbl(F.col("new_imeis") > 0, "novel_imei"), dbl(F.col("new_cells") > 0, "novel_cell"),
+        dbl(F.col("prior_n"), "prior_n"), dbl(odd_hour(hour), "night_flag"))
 
 
 def _moments(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -369,12 +359,21 @@ def temporal_ladder(case: Case, windows: Sequence[int] = (300, 600, 1800, 3600))
         "correlation_rate", F.round(F.col("correlated_pairs") / F.greatest(F.col("txns"), F.lit(1)), 3))
 
 
-def temporal_scores(case: Case, window: int = 1800) -> DataFrame:
-    """Calls of at least 10 s and sessions within the window: 20/40, 15/30, both 10."""
+def temporal_scores(case: Case, window: int = 1800, context: DataFrame | None = None) -> DataFrame:
+    """Calls of at least 10 s and sessions within the window: 20/40, 15/30, both 10.
+
+    ``context`` (payment context) serves the default window.
+    """
+    if context is not None and window == 1800:
+        return _temporal_points(context.where("ts is not null").withColumnRenamed("sessions_near", "sessions_in_window"))
     calls = call_context(case, {"calls_in_window": (-window, window, "n")}, F.col("duration_sec") >= 10)
     sess = session_context(case, {"sessions_in_window": (-window, window, "n")})
     rows = (case.bank.where("ts is not null").select("txn_id", "account_no").join(calls, "txn_id", "left")
             .join(sess, "txn_id", "left"))
+    return _temporal_points(rows)
+
+
+def _temporal_points(rows: DataFrame) -> DataFrame:
     c, s = F.coalesce("calls_in_window", F.lit(0)), F.coalesce("sessions_in_window", F.lit(0))
     score = (F.when(c >= 3, 40.0).when(c >= 1, 20.0).otherwise(0.0) + F.when(s >= 3, 30.0).when(s >= 1, 15.0)
              .otherwise(0.0) + F.when((c >= 1) & (s >= 1), 10.0).otherwise(0.0))
@@ -405,6 +404,13 @@ def call_assist(case: Case, window: int = 3600) -> DataFrame:
                        F.when(c >= 3, 60.0).when(c >= 2, 40.0).when(c >= 1, 20.0).otherwise(0.0).alias("call_assist_score"))
 
 
+def call_assist_points(context: DataFrame) -> DataFrame:
+    """Call-assist score from the payment context, without the per-phone list."""
+    c = F.col("calls_before")
+    return context.where("ts is not null").select("txn_id", c.alias("calls_before"), F.when(c >= 3, 60.0).when(c >= 2, 40.0).when(
+        c >= 1, 20.0).otherwise(0.0).alias("call_assist_score"))
+
+
 def shared_ips(ipdr: DataFrame, ip: str = "source_ip") -> DataFrame:
     """Addresses used by at least two subscribers; 20 points a subscriber."""
     a = (ipdr.where(F.col(ip).isNotNull() & F.col("msisdn").isNotNull()).groupBy(F.col(ip).alias("ip"))
@@ -413,11 +419,8 @@ def shared_ips(ipdr: DataFrame, ip: str = "source_ip") -> DataFrame:
                     F.concat(F.col("subscriber_count").cast("string"), F.lit(" subscribers share IP "), "ip").alias("reason"))
 
 
-def internet_scores(case: Case, window: int = 1800, top_ips: int = 3) -> DataFrame:
+def internet_scores(case: Case, window: int = 1800, top_ips: int = 3, context: DataFrame | None = None) -> DataFrame:
     """Session burst, shared addresses and first-seen SIM, device or cell around each payment."""
-    sess = session_context(case, {"n_sessions": (-window, window, "n")})
-    firsts = [(novelty(case, first_seen(case.ipdr, col, "msisdn", "start_ts"), window, out), out)
-              for col, out in (("imsi", "new_sim"), ("imei", "new_device"), ("cell_id", "new_cell"))]
     use = (case.ipdr.where("msisdn is not null and source_ip is not null")
            .groupBy(F.col("msisdn").alias("phone"), F.col("source_ip").alias("ip")).agg(F.count(F.lit(1)).alias("k")))
     w = W.partitionBy("phone").orderBy(F.desc("k"), "ip")
@@ -426,10 +429,15 @@ def internet_scores(case: Case, window: int = 1800, top_ips: int = 3) -> DataFra
         F.count(F.lit(1)).alias("shared_ips"))
     any_session = case.ipdr.where("msisdn is not null and start_ts is not null").select(
         F.col("msisdn").alias("phone")).distinct().withColumn("seen", F.lit(True))
-    rows = case.bank.where("ts is not null").select("txn_id", F.col("sender_phone").alias("phone"))
-    rows = rows.join(shared, "phone", "left").join(any_session, "phone", "left").join(sess, "txn_id", "left")
-    for part, _ in firsts:
-        rows = rows.join(part, "txn_id", "left")
+    if context is not None and window == 1800:
+        rows = context.where("ts is not null").select("txn_id", F.col("sender_phone").alias("phone"), F.col("sessions_near").alias("n_sessions"),
+                                                      "new_sim", "new_device", F.col("new_session_cell").alias("new_cell"))
+    else:
+        rows = case.bank.where("ts is not null").select("txn_id", F.col("sender_phone").alias("phone"))
+        rows = rows.join(session_context(case, {"n_sessions": (-window, window, "n")}), "txn_id", "left")
+        for col, out in (("imsi", "new_sim"), ("imei", "new_device"), ("cell_id", "new_cell")):
+            rows = rows.join(novelty(case, first_seen(case.ipdr, col, "msisdn", "start_ts"), window, out), "txn_id", "left")
+    rows = rows.join(shared, "phone", "left").join(any_session, "phone", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     changed = (z("new_sim") + z("new_device") + z("new_cell")) > 0
     pts = (F.when(z("n_sessions") >= 3, 20.0).otherwise(0.0) + 25.0 * z("shared_ips") + F.when(z("new_sim") > 0, 30.0).otherwise(0.0)

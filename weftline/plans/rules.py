@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.case import Case
-from weftline.functions.clock import has_clock, ist_day, local_hour, odd_hour
+from weftline.functions.clock import has_clock, ist_day, odd_hour
 from weftline.functions.scoring import band, capped_sum, confidence, fired, is_call, is_round, rule
 from weftline.operators.bands import band_pairs
-from weftline.operators.features import (cell_key, customer_key, call_context, customer_baseline, daily_rates, day_granular,
-                                         first_seen, novelty, session_context, with_prior_history, with_velocity)
+from weftline.operators.context import payment_context
+from weftline.operators.features import customer_key, daily_rates
 from weftline.operators.links import any_amount, both_ends, complained_accounts
 from weftline.operators.ordering import with_scalars
+from weftline.session import cut
 
 NOISE_CEILING = 0.25
 HOUR, HALF_HOUR, TWO_DAYS = 3600, 1800, 48 * 3600
@@ -32,88 +33,70 @@ def _points(case: Case) -> DataFrame:
             .select(F.col("sender_phone").alias("phone"), "ts").distinct())
 
 
-def _span_hits(points: DataFrame, spans: DataFrame, reach: int, out: str) -> DataFrame:
-    """Smallest span value covering each (phone, ts); spans are (phone, lo, hi, value), at most ``reach`` long.
+WHAT = ("novel_imei", "rare_imei", "novel_pair")
+
+
+def _span_hits(points: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    """Smallest value of each kind whose span covers a (phone, ts); spans are at most ``reach`` long.
 
     Spans exist only per distinct phone and value and points are distinct seconds, so the pairs that
     stream through the aggregation are bounded by values times seconds, not by rows.
     """
-    events = spans.select("phone", F.col("lo").alias("__ets"), "hi", "value")
+    events = spans.where("hi >= lo").select("phone", F.col("lo").alias("__ets"), "hi", "value", "what")
     hits = band_pairs(points, events, ["phone"], -reach, 0).where(F.col("ts") <= F.col("hi"))
-    return hits.groupBy("phone", "ts").agg(F.min("value").alias(out))
+    return hits.groupBy("phone", "ts").agg(*[F.min(F.when(F.col("what") == w, F.col("value"))).alias(w) for w in WHAT])
 
 
-def _occurrences(case: Case, pair: bool) -> DataFrame:
-    """First, second and third time of every value of a phone in calls and in sessions."""
-    def value(df):
-        v = F.concat_ws("/", "imsi", "imei") if pair else F.col("imei")
-        return df.where("imsi is not null and imei is not null" if pair else "imei is not null").withColumn("value", v)
+def _occurrences(case: Case) -> DataFrame:
+    """First, second and third time of every device, and SIM with device, of a phone in calls and sessions."""
+    def rows(df, phone, ts, src, rid):
+        pair = F.when(F.col("imsi").isNotNull() & F.col("imei").isNotNull(), F.concat_ws("/", "imsi", "imei"))
+        kinds = F.array(F.struct(F.lit("imei").alias("what"), F.col("imei").alias("value")),
+                        F.struct(F.lit("pair").alias("what"), pair.alias("value")))
+        return (df.where(F.col(phone).isNotNull() & F.col(ts).isNotNull())
+                .select(F.col(phone).alias("phone"), F.col(ts).alias("ts"), F.lit(src).alias("src"), F.col(rid).alias("id"),
+                        F.explode(kinds).alias("k")).select("phone", "ts", "src", "id", "k.*").where("value is not null"))
 
-    calls = value(case.cdr.where("a_number is not null and ts is not null")).select(
-        F.col("a_number").alias("phone"), "value", "ts", F.lit("c").alias("src"), F.col("cdr_id").alias("id"))
-    sess = value(case.ipdr.where("msisdn is not null and start_ts is not null")).select(
-        F.col("msisdn").alias("phone"), "value", F.col("start_ts").alias("ts"), F.lit("s").alias("src"),
-        F.col("ipdr_id").alias("id"))
+    both = rows(case.cdr, "a_number", "ts", "c", "cdr_id").unionByName(rows(case.ipdr, "msisdn", "start_ts", "s", "ipdr_id"))
     # the first three rows are all that matters; the ranking filter is pushed below the shuffle
-    w = W.partitionBy("phone", "value", "src").orderBy("ts", "id")
-    top = calls.unionByName(sess).withColumn("n", F.row_number().over(w)).where("n <= 3")
-    pick = lambda s, n: F.max(F.when((F.col("src") == s) & (F.col("n") == n), F.col("ts")))
-    return top.groupBy("phone", "value").agg(*[pick(s, n).alias(f"{s}{n}") for s in "cs" for n in (1, 2, 3)])
+    w = W.partitionBy("phone", "what", "value", "src").orderBy("ts", "id")
+    top = both.withColumn("n", F.row_number().over(w)).where("n <= 3")
+    pick = lambda s, n: F.max(F.when((F.col("src") == s) & (F.col("n") == n), F.col("ts"))).alias(f"{s}{n}")
+    return top.groupBy("phone", "what", "value").agg(*[pick(s, n) for s in "cs" for n in (1, 2, 3)])
 
 
-def new_devices(case: Case) -> DataFrame:
-    """(phone, ts, novel_imei): a device first used right after the payment and hardly seen before it."""
-    o = _occurrences(case, pair=False)
-    call = o.where("c1 is not null").select("phone", (F.col("c1") - HOUR).alias("lo"),
-                                            F.least("c1", F.coalesce("s3", "c1")).alias("hi"), "value")
-    sess = o.where("s1 is not null").select("phone", (F.col("s1") - HALF_HOUR).alias("lo"),
-                                            F.least("s1", F.coalesce("c3", "s1")).alias("hi"), "value")
-    return _span_hits(_points(case), call.unionByName(sess), HOUR, "novel_imei")
+def device_novelty(case: Case) -> DataFrame:
+    """(phone, ts, novel_imei, rare_imei, novel_pair) for payment moments.
+
+    * novel device: first used within the hour after (calls) or half hour (sessions), at most twice before;
+    * rare device: at most two records in the whole case, used within the hour after;
+    * novel pair: SIM and device first seen in calls within the hour after with at most two sessions before,
+      or used in calls within two days, never before in sessions and at most twice before in calls. Only a
+      pair's first three calls can open such a span, hence at most four spans per pair.
+    """
+    o = _occurrences(case)
 
+    def span(rows, lo, hi, what):
+        return rows.select("phone", lo.alias("lo"), hi.alias("hi"), "value", F.lit(what).alias("what"))
 
-def rare_devices(case: Case) -> DataFrame:
-    """(phone, ts, rare_imei): a device seen at most twice in the whole case, used within the hour after."""
+    c = F.col
+    dev, pair = o.where("what = 'imei'"), o.where("what = 'pair'")
     seen = case.cdr.select("imei").unionByName(case.ipdr.select("imei")).where("imei is not null")
     rare = seen.groupBy("imei").agg(F.count(F.lit(1)).alias("k")).where("k <= 2")
-    rows = case.cdr.where("a_number is not null and ts is not null").join(rare, "imei").select(
-        F.col("a_number").alias("phone"), (F.col("ts") - HOUR).alias("lo"), F.col("ts").alias("hi"),
-        F.col("imei").alias("value")).distinct()
-    return _span_hits(_points(case), rows, HOUR, "rare_imei")
-
-
-def new_pairs(case: Case) -> DataFrame:
-    """(phone, ts, novel_pair): SIM and device combination new around the payment.
-
-    Either the pair first appears in calls within the hour after (and at most twice in sessions before),
-    or it is used in calls within two days, never before in sessions and at most twice before in calls.
-    Only a pair's first three calls can open such a span, hence at most four spans per pair.
-    """
-    o = _occurrences(case, pair=True)
-    first = o.where("c1 is not null").select("phone", (F.col("c1") - HOUR).alias("lo"),
-                                             F.least("c1", F.coalesce("s3", "c1")).alias("hi"), "value")
-    spans = [first]
-    for c in ("c1", "c2", "c3"):
-        end = F.least(F.col(c) + TWO_DAYS, F.coalesce("c3", F.col(c) + TWO_DAYS), F.coalesce("s1", F.col(c) + TWO_DAYS))
-        spans.append(o.where(F.col(c).isNotNull()).select("phone", (F.col(c) - TWO_DAYS).alias("lo"), end.alias("hi"), "value"))
-    allspans = reduce(DataFrame.unionByName, spans).where("hi >= lo")
-    return _span_hits(_points(case), allspans, 2 * TWO_DAYS, "novel_pair")
-
-
-def location_context(case: Case) -> DataFrame:
-    """Per payment: cells first used within the hour after it, earliest cell time, rare cells near it."""
-    cells = case.cdr.withColumn("cell", cell_key())
-    firsts = first_seen(cells, "cell", "a_number", "ts")
-    new = novelty(case, firsts, HOUR - 1, "new_cells")
-    start = firsts.groupBy("phone").agg(F.min("ts").alias("first_cell_ts"))
-    rare = cells.where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k <= 2")
-    near = cells.join(rare, "cell").where("a_number is not null and ts is not null").select(
-        F.col("a_number").alias("phone"), F.col("cell").alias("value"), "ts")
-    rare_near = novelty(case, near, HOUR - 1, "rare_cells")
-    base = case.bank.select("txn_id", "ts", F.col("sender_phone").alias("phone")).join(start, "phone", "left")
-    out = base.join(new, "txn_id", "left").join(rare_near, "txn_id", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    moved = (z("new_cells") > 0) & (F.col("first_cell_ts") < F.col("ts"))
-    return out.select("txn_id", moved.alias("moved"), (~F.coalesce(moved, F.lit(False)) & (z("rare_cells") > 0)).alias("rare_cell"))
+    rare_rows = case.cdr.where("a_number is not null and ts is not null").join(rare, "imei").select(
+        c("a_number").alias("phone"), "ts", c("imei").alias("value")).distinct()
+    near = [span(dev.where("c1 is not null"), c("c1") - HOUR, F.least("c1", F.coalesce("s3", "c1")), "novel_imei"),
+            span(dev.where("s1 is not null"), c("s1") - HALF_HOUR, F.least("s1", F.coalesce("c3", "s1")), "novel_imei"),
+            span(rare_rows, c("ts") - HOUR, c("ts"), "rare_imei"),
+            span(pair.where("c1 is not null"), c("c1") - HOUR, F.least("c1", F.coalesce("s3", "c1")), "novel_pair")]
+    far = []
+    for n in ("c1", "c2", "c3"):
+        stop = c(n) + TWO_DAYS
+        far.append(span(pair.where(c(n).isNotNull()), c(n) - TWO_DAYS, F.least(stop, F.coalesce("c3", stop), F.coalesce("s1", stop)), "novel_pair"))
+    points = _points(case)
+    return _span_hits(points, reduce(DataFrame.unionByName, near), HOUR).unionByName(
+        _span_hits(points, reduce(DataFrame.unionByName, far), 2 * TWO_DAYS)).groupBy("phone", "ts").agg(
+        *[F.min(w).alias(w) for w in WHAT])
 
 
 def _day_calls(case: Case) -> DataFrame:
@@ -124,27 +107,19 @@ def _day_calls(case: Case) -> DataFrame:
     return sides.join(per_day, ["phone", "date"]).groupBy("txn_id").agg(F.sum("k").alias("day_calls"))
 
 
-def rule_inputs(case: Case) -> DataFrame:
-    """Every payment with the values its rules look at."""
-    bank = with_velocity(with_prior_history(case.bank))
-    parts = [
-        call_context(case, {"calls_hour": (-HOUR, -1, "n")}, is_call(F.col("call_type"), F.col("duration_sec"))),
-        call_context(case, {"long_calls_hour": (-HOUR, -1, "n")}, F.col("duration_sec") >= 10),
-        session_context(case, {"sessions_near": (-HALF_HOUR, HALF_HOUR, "n")}),
-        _day_calls(case), location_context(case),
-    ]
-    rows = bank.join(customer_baseline(case.bank).select("customer", "median_upper", "hour_mode"), "customer", "left")
-    rows = rows.join(daily_rates(case.bank), ["customer", "date"], "left")
-    rows = reduce(lambda d, o: d.join(o, "txn_id", "left"), parts, rows)
-    for extra in (new_devices(case), rare_devices(case), new_pairs(case)):
-        rows = rows.join(extra.withColumnRenamed("phone", "sender_phone"), ["sender_phone", "ts"], "left")
+def rule_inputs(case: Case, context: DataFrame | None = None) -> DataFrame:
+    """Every payment with the values its rules look at. Written once: weights and rules both read it."""
+    rows = context if context is not None else payment_context(case)
+    rows = rows.join(daily_rates(case.bank), ["customer", "date"], "left").join(_day_calls(case), "txn_id", "left")
+    rows = rows.join(device_novelty(case).withColumnRenamed("phone", "sender_phone"), ["sender_phone", "ts"], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return rows.select(
+    moved = F.coalesce((F.col("new_cells") > 0) & (F.col("first_cell_ts") < F.col("ts")), F.lit(False))
+    return cut(rows.select(
         "txn_id", "customer", "account_no", "bank", "mode", "ts", "date", "time", "receiver_account", "sender_phone",
-        F.round(any_amount(), 2).alias("amount"), "prior_n", "first_beneficiary", z("velocity"), "median_upper",
-        "hour_mode", "day_median", z("day_count"), z("calls_hour"), z("long_calls_hour"), z("sessions_near"), z("day_calls"),
-        "novel_imei", "rare_imei", "novel_pair", "moved", "rare_cell",
-        local_hour(F.col("time"), F.col("ts")).alias("hour"), has_clock(F.col("time")).alias("clock"))
+        F.round(any_amount(), 2).alias("amount"), "prior_n", "first_beneficiary", "velocity", "median_upper",
+        "hour_mode", "day_median", z("day_count"), "calls_hour", "long_calls_hour", "sessions_near", z("day_calls"),
+        *WHAT, moved.alias("moved"), (~moved & (F.col("rare_cells") > 0)).alias("rare_cell"),
+        "hour", has_clock(F.col("time")).alias("clock")))
 
 
 def rule_prevalence(rows: DataFrame, bank: DataFrame) -> DataFrame:
@@ -208,8 +183,8 @@ def payment_rules(rows: DataFrame, weights: DataFrame) -> DataFrame:
                     F.col("breakdown.rule").alias("rules_fired"), "breakdown", confidence(F.col("risk_score")).alias("confidence"))
 
 
-def behaviour_scores(case: Case) -> DataFrame:
-    rows = rule_inputs(case)
+def behaviour_scores(case: Case, context: DataFrame | None = None) -> DataFrame:
+    rows = rule_inputs(case, context)
     return payment_rules(rows, rule_prevalence(rows, case.bank))
 
 
