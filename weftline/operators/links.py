@@ -369,7 +369,7 @@ def complaint_payments(complaints: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def related_payments(bank: DataFrame, limit: int = 40) -> DataFrame:
-    """Payments related to each payment by account, receiver, counterparty or same account and day.
+    """Payments related to each payment by account, receiver, counterparty or day.
 
     ``reasons`` are collected per pair; the first ``limit`` in time order are kept. Per-key candidate
     lists come from rank lookup on position, so only ``limit + 1`` candidates per reason are read.
@@ -378,14 +378,15 @@ def related_payments(bank: DataFrame, limit: int = 40) -> DataFrame:
 
     out = None
     reasons = {
-        "same_account": F.col("account_no"), "same_receiver": F.col("receiver_account"),
-        "same_counterparty": F.col("counterparty_name"),
+        "same_account": ("account_no", ["account_no"]), "same_receiver": ("receiver_account", ["receiver_account", "account_no"]),
+        "same_counterparty": ("counterparty_name", ["counterparty_name"]), "same_day": ("date", ["date"]),
     }
-    for reason, key in reasons.items():
-        keyed = bank.select("txn_id", "ts", key.alias("key")).where("key is not null and ts is not null")
-        ranked = with_position(keyed, ["key"], "txn_id").where(F.col("pos") <= limit)
-        early = ranked.select("key", F.col("txn_id").alias("other_id"), F.col("ts").alias("other_ts"))
-        rows = (keyed.select("txn_id", "key").join(early, "key").where("txn_id <> other_id")
+    timed = bank.where("ts is not null")
+    for reason, (asks, offers) in reasons.items():
+        offered = timed.select("txn_id", "ts", F.explode(F.array_distinct(F.array_compact(F.array(*offers)))).alias("key"))
+        early = with_position(offered, ["key"], "txn_id").where(F.col("pos") <= limit).select(
+            "key", F.col("txn_id").alias("other_id"), F.col("ts").alias("other_ts"))
+        rows = (timed.select("txn_id", F.col(asks).alias("key")).join(early, "key").where("txn_id <> other_id")
                 .select("txn_id", "other_id", "other_ts", F.lit(reason).alias("reason")))
         out = rows if out is None else out.unionByName(rows)
     pairs = out.groupBy("txn_id", "other_id", "other_ts").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))

@@ -69,6 +69,20 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, targets: Ma
     return spans.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
+def values_at_most(df: DataFrame, keys: Sequence[str], value: str, out: str = "at_most", width: float = 1000.0) -> DataFrame:
+    """(keys, value, at_most, n): how many values of the key are no larger, for every distinct value."""
+    keys = list(keys)
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+              .withColumn("__chunk", F.floor(F.col(value) / width)))
+    chunks = counts.groupBy(*keys, "__chunk").agg(F.sum("__c").alias("__cc"))
+    over_key = W.partitionBy(*keys)
+    chunks = chunks.select(*keys, "__chunk", F.sum("__cc").over(over_key).alias("n"), F.coalesce(F.sum("__cc").over(
+        over_key.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__c0"))
+    inside = W.partitionBy(*keys, "__chunk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return (counts.withColumn("__i", F.sum("__c").over(inside)).join(chunks, [*keys, "__chunk"])
+            .select(*keys, value, (F.col("__i") + F.col("__c0")).alias(out), "n"))
+
+
 def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
                      width: float = 1000.0) -> DataFrame:
     """Interpolated quantiles built from two neighbouring order statistics."""
