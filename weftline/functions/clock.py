@@ -58,29 +58,37 @@ def odd_hour(hour: Column) -> Column:
     return (hour >= 22) | ((hour >= 0) & (hour < 6))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; keeps long conditional expressions small."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def parse_date(raw: Column, period_start: Column | None = None, period_end: Column | None = None) -> Column:
     """Date text to ISO text. The period settles which century or digit order is meant."""
     s = F.regexp_replace(F.regexp_replace(F.trim(raw), "^['\"]+|['\"]+$", ""), r"\s+", " ")
-    s = F.when(~s.isin(*MISSING), s)
     # strict patterns want two-digit day and month
     padded = F.regexp_replace(F.regexp_replace(s, r"^(\d)([/\- ])", "0$1$2"), r"^(\d\d[/\-])(\d)([/\-])", "${1}0$2$3")
-    plain = F.coalesce(*[_guarded(padded, layout) for layout in DATE_LAYOUTS],
-                       *[_guarded(F.substring(padded, 1, 10), d) for d in DATE_LAYOUTS[:2]],
-                       *[_guarded(F.substring(padded, 1, 8), d) for d in DATE_LAYOUTS[2:4]])
-    if period_start is not None and period_end is not None:
+
+    def read(p: Column) -> Column:
+        plain = F.coalesce(*[_guarded(p, layout) for layout in DATE_LAYOUTS],
+                           *[_guarded(F.substring(p, 1, 10), d) for d in DATE_LAYOUTS[:2]],
+                           *[_guarded(F.substring(p, 1, 8), d) for d in DATE_LAYOUTS[2:4]])
+        if period_start is None or period_end is None:
+            return plain
         lo, hi = F.to_date(period_start), F.to_date(period_end)
-        compact = [F.to_date(F.try_to_timestamp(padded, F.lit(p))) for p in ("ddMMyyyy", "yyyyMMdd")]
-        near = [F.when(padded.rlike(r"^\d{8}$") & c.between(F.date_sub(lo, 5), F.date_add(hi, 5)), c) for c in compact]
+        compact = [F.to_date(F.try_to_timestamp(p, F.lit(f))) for f in ("ddMMyyyy", "yyyyMMdd")]
+        near = [F.when(p.rlike(r"^\d{8}$") & c.between(F.date_sub(lo, 5), F.date_add(hi, 5)), c) for c in compact]
         century = F.floor(F.year(lo) / 100) * 100
-        short = padded.rlike(r"^\d{2}/\d{2}/\d{2}$")
-        yy = F.substring(padded, 7, 2).cast("int")
+        short = p.rlike(r"^\d{2}/\d{2}/\d{2}$")
+        yy = F.substring(p, 7, 2).try_cast("int")
         shifts = []
         for shift in (0, -100, 100):
-            text = F.concat(F.substring(padded, 1, 6), F.lpad((century + yy + shift).cast("string"), 4, "0"))
+            text = F.concat(F.substring(p, 1, 6), F.lpad((century + yy + shift).cast("string"), 4, "0"))
             d = F.to_date(F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))
             shifts.append(F.when(short & d.between(F.date_sub(lo, 400), F.date_add(hi, 400)), d))
-        plain = F.coalesce(*near, *shifts, plain)
-    return plain.cast("string")
+        return F.coalesce(*near, *shifts, plain)
+
+    return let(F.when(~padded.isin(*MISSING), padded), read).cast("string")
 
 
 # The shape each layout must have before it is parsed.

@@ -20,11 +20,8 @@ def digits(raw: Column) -> Column:
 def phone(raw: Column) -> Column:
     """Canonical ``91`` + ten digits starting 6-9, else NULL."""
     d = digits(raw)
-    n = F.length(d)
-    core = (F.when(n.isin(12, 13) & d.startswith("91"), F.substring(d, 3, 11))
-            .when((n == 11) & d.startswith("0"), F.substring(d, 2, 10))
-            .when(n == 10, d))
-    return F.when(core.rlike("^[6-9]"), F.concat(F.lit("91"), core))
+    short = F.nullif(F.regexp_extract(d, r"^0?([6-9]\d{9})$", 1), F.lit(""))
+    return F.concat(F.lit("91"), F.coalesce(F.nullif(F.regexp_extract(d, r"^91([6-9]\d{9,10})$", 1), F.lit("")), short))
 
 
 def phone_key(raw: Column) -> Column:
