@@ -40,8 +40,8 @@ def a17(t: Tables):
     return rp.typologies(t.case, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
 
 
-view("hits", "SELECT t.txn_id, t.receiver_phone AS phone FROM f_bank t WHERE receiver_phone IN (SELECT a_number FROM f_cdr)")
-_EXEC = """WITH x AS (SELECT (SELECT max(score) FROM acc_heat) AS top, (SELECT count(*) FROM loop_rows) AS loops, (SELECT count(*) FROM payouts) AS payouts, (SELECT count(*) FROM hits) AS coincidences),
+view("coin_hits", "SELECT t.txn_id, t.receiver_phone AS phone FROM f_bank t WHERE receiver_phone IN (SELECT a_number FROM f_cdr)")
+_EXEC = """WITH x AS (SELECT (SELECT max(score) FROM acc_heat) AS top, (SELECT count(*) FROM loop_rows) AS loops, (SELECT count(*) FROM payouts) AS payouts, (SELECT count(*) FROM coin_hits) AS coincidences),
 o AS (SELECT *, 30 + CASE WHEN loops > 0 THEN 20 ELSE 0 END + CASE WHEN payouts > 0 THEN 15 ELSE 0 END + CASE WHEN coincidences > 0 THEN 10 ELSE 0 END AS den,
   30 * least(100, top) + CASE WHEN loops > 0 THEN 20 * least(100, 40 + 6 * least(10, loops)) ELSE 0 END + CASE WHEN payouts > 0 THEN 15 * least(100, 30 + 10 * least(7, payouts)) ELSE 0 END
   + CASE WHEN coincidences > 0 THEN 10 * least(100, 20 + 8 * least(10, coincidences)) ELSE 0 END AS num FROM x)
@@ -78,7 +78,7 @@ def a27b(t: Tables):
 @entry("a31_fusion_rollup", """
 SELECT (SELECT count(*) FROM fused WHERE call_count > 0) AS call_links, (SELECT count(*) FROM fused WHERE ipdr_count > 0) AS session_links,
   (SELECT count(*) FROM (SELECT DISTINCT account_no, unnest([sender_phone, receiver_phone]) FROM f_bank)) AS phone_account_links, (SELECT count(*) FROM (SELECT DISTINCT source_ip, msisdn FROM f_ipdr)) AS ip_phone_links,
-  (SELECT count(*) FROM (SELECT DISTINCT imei, msisdn FROM f_ipdr)) AS device_phone_links, (SELECT count(*) FROM hits) AS temporal_overlaps""")
+  (SELECT count(*) FROM (SELECT DISTINCT imei, msisdn FROM f_ipdr)) AS device_phone_links, (SELECT count(*) FROM coin_hits) AS temporal_overlaps""")
 def a31(t: Tables):
     return rp.fusion_rollup(t.case, links.fused_rows(t.case), links.coincidences(t.case))
 
