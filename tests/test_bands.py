@@ -69,3 +69,18 @@ def test_ties_split_by_prefix(spark):
     d = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("h"), F.lit(0.0).alias("v"))
     pos = [r.p for r in with_position(d, [], "h", ts="v", out="p", width=0.5, tie_prefix=2).orderBy("h").collect()]
     assert pos == list(range(500))
+
+
+def test_running_median_both_ways(spark):
+    import statistics
+
+    from weftline.operators.running_median import running_median
+    rnd = random.Random(11)
+    rows = [("h" if i % 4 else "x", i, float(rnd.randrange(40))) for i in range(90)]
+    d = with_position(spark.createDataFrame(rows, "k string, ts long, v double"), ["k"], "ts")
+    want = {}
+    for key in "hx":
+        vs = [v for k, _, v in rows if k == key]
+        want.update({(key, i): statistics.median(vs[:i + 1]) for i in range(len(vs))})
+    for small in (1000, 30):
+        assert {(r.k, r.pos): r.median for r in running_median(d, "k", "v", small=small).collect()} == want

@@ -135,3 +135,15 @@ def bank_code(name: Column) -> Column:
     for code, words in BANK_CODES:
         out = F.when(_any(up, words), code) if out is None else out.when(_any(up, words), code)
     return out.otherwise("OTHER BANK")
+
+
+def channel(mode: Column, narration: Column) -> Column:
+    """Mode when known, else what the narration says, else OTHER."""
+    return F.coalesce(F.nullif(mode, F.lit("")), payment_mode(narration), F.lit("OTHER"))
+
+
+def counterparty_label(name: Column, narration: Column) -> Column:
+    """Known name, else the name part of a slash-separated narration, else its first two words."""
+    parts = F.split(narration, "/")
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.nullif(F.trim(F.try_element_at(parts, F.lit(4))), F.lit("")),
+                      F.array_join(F.slice(F.split(narration, " "), 1, 2), " "))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from weftline.case import Case
 from weftline.functions.scoring import band
 from weftline.operators.aggregates import report_amount
 from weftline.operators.ordering import with_scalars
+from weftline.session import cut
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -115,3 +117,34 @@ def recommendations(rollup: DataFrame, heat: DataFrame, fusion: DataFrame) -> Da
                                              for k, o, p, cat, act in rows])).alias("a"))
     base = F.array(F.struct(F.lit(3).alias("o"), F.lit("LOW").alias("priority"), F.lit("Baseline").alias("category"), F.lit("Continue monitoring").alias("action")))
     return got.select(F.explode(F.when(F.size("a") == 0, base).otherwise(F.col("a"))).alias("x")).select("x.priority", "x.category", "x.action")
+
+
+def report_tables(case: Case, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Report sections as tables, each an independent job over the case; ``only`` builds just those named."""
+    from weftline.operators import aggregates as ag
+    from weftline.operators import features as ft
+    from weftline.operators import graphs as g
+    from weftline.operators import links, ml
+    from weftline.plans import rules
+
+    heat, phones = cache(lambda: rules.account_heat(case)), cache(lambda: rules.phone_heat(case.cdr))
+    loops, payouts = cache(lambda: g.circular_flows(case.bank)), cache(lambda: ft.rapid_payouts(case.bank))
+    in_out, hits = cache(lambda: links.rapid_in_out(case.bank)), cache(lambda: links.coincidences(case))
+    roll = cache(lambda: circular_rollup(case.bank, loops(), payouts(), in_out()))
+    fusion = cache(lambda: fusion_rollup(case, links.fused_rows(case), hits()))
+    outliers = cache(lambda: cut(ft.outlier_matrix(case.bank, payouts())))
+    sections = {
+        "datasets": lambda: ag.dataset_counts(case), "executive": lambda: executive(case, heat(), phones(), loops(), payouts(), hits()),
+        "activity": lambda: ag.activity_levels(case.bank), "day_hour_risk": lambda: ag.day_hour_risk(case.bank, heat()),
+        "amounts": lambda: ag.amount_histogram(case.bank), "modes": lambda: ag.mode_counts(case.bank), "session_hours": lambda: ag.session_hours(case.ipdr),
+        "phone_reuse": lambda: ag.phone_reuse(case.bank), "shared_devices": lambda: ag.shared_by(case.ipdr, "imei", "msisdn"),
+        "shared_ips": lambda: ag.shared_by(case.ipdr, "source_ip", "msisdn", shown=10), "bank_matrix": lambda: ag.bank_matrix(case.bank),
+        "circles": lambda: ag.circle_activity(case), "account_risk": lambda: heat().orderBy(F.desc("score"), "account_no").limit(30),
+        "phone_risk": lambda: phones().orderBy(F.desc("score"), "phone").limit(20), "hubs": lambda: g.hubs(g.money_edges(case.bank)),
+        "busy_slots": lambda: ag.busy_slots(case.bank), "kind_hours": lambda: ag.kind_hours(links.timeline(case)), "rapid_in_out": in_out, "payouts": payouts,
+        "loops": loops, "circular": roll, "indicators": lambda: laundering_indicators(roll()), "fusion": fusion, "missing_links": lambda: links.missing_links(case),
+        "statistics": lambda: ag.amount_statistics(case.bank), "parties": lambda: ag.top_parties(case.bank), "benford": lambda: ag.benford(case.bank),
+        "typologies": lambda: typologies(case, loops(), payouts(), in_out()), "importance": lambda: ml.feature_importance(outliers()),
+        "deviations": lambda: ml.deviating_features(outliers()), "recommendations": lambda: recommendations(roll(), heat(), fusion()),
+    }
+    return {name: build() for name, build in sections.items() if only is None or name in only}
