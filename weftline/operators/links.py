@@ -309,29 +309,43 @@ def rapid_in_out(bank: DataFrame, window_min: int = 15, limit: int = 100, share:
                                               F.col("credit").alias("in_amount"), F.col("mode").alias("in_mode"))
     debits = rows.where("debit > 0").select("account_no", F.col("ts").alias("__ets"), F.col("txn_id").alias("out_txn"),
                                             F.col("debit").alias("out_amount"), F.col("mode").alias("out_mode"))
-    hits = band_pairs(credits, debits, ["account_no"], 1, window_min * 60)
-    hits = hits.where(F.col("out_amount") >= F.col("in_amount") * share)
-    first = hits.groupBy("in_txn").agg(F.min_by(F.struct(
-        "account_no", F.col("ts").alias("in_ts"), F.col("__ets").alias("out_ts"), "in_amount", "out_amount", "out_txn",
-        F.coalesce("in_mode", "out_mode").alias("mode")), F.struct("__ets", "out_txn")).alias("h"))
+    # one row per second with its largest debit: a credit meets at most the window's seconds, not its debits
+    seconds = debits.groupBy("account_no", "__ets").agg(F.max("out_amount").alias("top"))
+    hits = band_pairs(credits, seconds, ["account_no"], 1, window_min * 60).where(F.col("top") >= F.col("in_amount") * share)
+    when = hits.groupBy("account_no", "in_txn", "in_amount", "in_mode", F.col("ts").alias("in_ts")).agg(F.min("__ets").alias("__ets"))
+    match = when.join(debits, ["account_no", "__ets"]).where(F.col("out_amount") >= F.col("in_amount") * share)
+    first = match.groupBy("in_txn").agg(F.min_by(F.struct(
+        "account_no", "in_ts", F.col("__ets").alias("out_ts"), "in_amount", "out_amount", "out_txn", F.coalesce("in_mode", "out_mode").alias("mode")), "out_txn").alias("h"))
     out = first.select("in_txn", "h.*").withColumn("latency", F.col("out_ts") - F.col("in_ts"))
     return out.orderBy("latency", "in_txn").limit(limit) if limit else out
 
 
-def shared_device_phones(cdr: DataFrame, top: int = 10) -> DataFrame:
-    """Other phones that used one of a phone's devices, by number of records.
+def shared_device_phones(cdr: DataFrame, top: int = 10, crowded: int = 1000) -> DataFrame:
+    """Other phones that used one of a phone's devices, by number of records; exact without pairing crowds.
 
-    Usage is collapsed to (phone, device, records) first. The result pairs phones through a device, so
-    its size is the number of phone pairs per device; a junk device shared by millions of phones is
-    removed at normalisation (empty, dash or zero ids are NULL).
+    A device with at most ``crowded`` phones pairs them directly. For crowded devices only the first
+    ``top + 1`` phones of each distinct set of crowded devices are candidates: a phone outside that list
+    and not met on a small device has a lower total than all in it, since their totals can only grow.
+    Candidates then get their exact totals over all shared devices.
     """
     use = (cdr.where("a_number is not null and imei is not null")
            .groupBy("imei", F.col("a_number").alias("phone")).agg(F.count(F.lit(1)).alias("records")))
-    other = use.select("imei", F.col("phone").alias("other"), "records")
-    w = W.partitionBy("phone").orderBy(F.desc("records"), "other")
-    return (use.select("imei", "phone").join(other, "imei").where("phone <> other")
-            .groupBy("phone", "other").agg(F.sum("records").alias("records"))
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top))
+    size = use.groupBy("imei").agg(F.count(F.lit(1)).alias("k"))
+    tagged = use.join(size, "imei")
+    small, big = tagged.where(F.col("k") <= crowded).drop("k"), tagged.where(F.col("k") > crowded).drop("k")
+    near = small.select("imei", "phone").join(small.select("imei", F.col("phone").alias("other")), "imei").select("phone", "other")
+    # a phone's set of crowded devices; phones with equal sets share one candidate list
+    sets = big.groupBy("phone").agg(F.sort_array(F.collect_set("imei")).alias("devices"))
+    totals = (sets.select("devices").distinct().select("devices", F.explode("devices").alias("imei"))
+              .join(big, "imei").groupBy("devices", "phone").agg(F.sum("records").alias("t")))
+    w = W.partitionBy("devices").orderBy(F.desc("t"), "phone")
+    best = totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1).select("devices", F.col("phone").alias("other"))
+    candidates = near.unionByName(sets.join(best, "devices").select("phone", "other")).where("phone <> other").distinct()
+    exact = (candidates.join(use.select("phone", "imei"), "phone")
+             .join(use.select("imei", F.col("phone").alias("other"), "records"), ["imei", "other"])
+             .groupBy("phone", "other").agg(F.sum("records").alias("records")))
+    by_phone = W.partitionBy("phone").orderBy(F.desc("records"), "other")
+    return exact.withColumn("rank", F.row_number().over(by_phone)).where(F.col("rank") <= top)
 
 
 def missing_links(case: Case, limit: int = 10) -> DataFrame:
