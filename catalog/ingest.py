@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import Tables, entry, view
+from catalog.base import Tables, entry
 from weftline.functions import narration
 from weftline.operators import links
 from weftline.operators.ordering import with_position
 from weftline.operators.running_median import running_median
+from weftline.operators.views import canonical_calls, canonical_complaints, canonical_sessions, canonical_subscribers
 from weftline.plans import reports as rp
 from weftline.sources import bank as bk
 from weftline.sources.folder import flat_fused
@@ -62,3 +63,28 @@ def c8(t: Tables):
         one = tables[name].agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("section"), "records")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@entry("p2_canonical_calls", "SELECT cdr_id, a_number, b_number, imei, imsi, duration_sec, cell_id_first, ts FROM f_cdr")
+def p2(t: Tables):
+    raw = t.cdr.withColumns({"a_number": F.concat(F.lit("+"), "a_number"), "b_number": F.substring("b_number", 3, 10), "imei": F.concat(F.lit("'"), "imei"),
+                             "duration_sec": F.col("duration_sec").cast("string")}).drop("ts")
+    return canonical_calls(raw).select("cdr_id", "a_number", "b_number", "imei", "imsi", "duration_sec", "cell_id_first", "ts")
+
+
+@entry("p3_canonical_subscribers", "SELECT sub_id, msisdn, imsi, imei, subscriber_name, circle FROM f_sub")
+def p3(t: Tables):
+    raw = t.subscribers.withColumn("msisdn", F.concat(F.lit("0"), F.substring("msisdn", 3, 10)))
+    return canonical_subscribers(raw).select("sub_id", "msisdn", "imsi", "imei", "subscriber_name", "circle")
+
+
+@entry("p4_canonical_complaints", "SELECT complaint_id, account_no, mobile, state FROM f_complaint")
+def p4(t: Tables):
+    raw = t.complaints.withColumn("account_no", F.concat(F.lit("A/C "), "account_no"))
+    return canonical_complaints(raw).select("complaint_id", "account_no", "mobile", "state")
+
+
+@entry("p5_canonical_sessions", "SELECT ipdr_id, msisdn, imsi, imei, source_ip, start_ts, duration_sec, volume_down FROM f_ipdr")
+def p5(t: Tables):
+    raw = t.ipdr.withColumns({"msisdn": F.substring("msisdn", 3, 10), "source_ip": F.concat(F.lit(" "), "source_ip")}).drop("start_ts")
+    return canonical_sessions(raw).select("ipdr_id", "msisdn", "imsi", "imei", "source_ip", "start_ts", "duration_sec", "volume_down")

@@ -43,3 +43,44 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     cols = df.columns
     row = F.min_by(F.struct(*cols), F.struct(*order))
     return df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(row.alias("r")).select("r.*").select(*cols)
+
+
+def _filled(df: DataFrame, columns: tuple[str, ...]) -> list:
+    from weftline.functions.ids import blank_to_null
+    return [(blank_to_null(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns]
+
+
+def _whole(df: DataFrame, name: str):
+    c = F.col(name).try_cast("long") if name in df.columns else F.lit(None).cast("long")
+    return F.coalesce(c, F.lit(0).cast("long")).alias(name)
+
+
+def canonical_calls(raw: DataFrame) -> DataFrame:
+    """Call rows with clean numbers, devices and epoch."""
+    from weftline.functions import clock, ids
+    ts = clock.to_epoch(F.col("date"), F.col("time"))
+    return raw.select("cdr_id", ids.phone(F.col("a_number")).alias("a_number"), ids.phone(F.col("b_number")).alias("b_number"), "call_type", "date", "time",
+                      _whole(raw, "duration_sec"), ids.device(F.col("imei")).alias("imei"), ids.device(F.col("imsi")).alias("imsi"),
+                      *_filled(raw, ("operator", "service_type", "cell_id_first", "cell_id_last", "bts_location_first", "bts_location_last", "roaming_circle")),
+                      (F.coalesce(F.col("ts").cast("long"), ts) if "ts" in raw.columns else ts).alias("ts"))
+
+
+def canonical_sessions(raw: DataFrame) -> DataFrame:
+    """Session rows with clean number, devices, addresses and epochs."""
+    from weftline.functions import clock, ids
+    start = clock.to_epoch(F.col("date"), F.col("start_time"))
+    return raw.select("ipdr_id", ids.phone(F.col("msisdn")).alias("msisdn"), ids.device(F.col("imsi")).alias("imsi"), ids.device(F.col("imei")).alias("imei"),
+                      ids.ip(F.col("source_ip")).alias("source_ip"), ids.ip(F.col("dest_ip")).alias("dest_ip"), "date", "start_time", start.alias("start_ts"),
+                      _whole(raw, "duration_sec"), _whole(raw, "volume_up"), _whole(raw, "volume_down"), *_filled(raw, ("cell_id", "roaming_circle", "operator")))
+
+
+def canonical_complaints(raw: DataFrame) -> DataFrame:
+    from weftline.functions import ids
+    return raw.select("complaint_id", F.nullif(ids.digits(F.col("account_no")), F.lit("")).alias("account_no"), ids.phone(F.col("mobile")).alias("mobile"),
+                      *_filled(raw, ("ack_no", "bank_name", "state", "district", "police_station", "officer_name", "designation", "email")))
+
+
+def canonical_subscribers(raw: DataFrame) -> DataFrame:
+    from weftline.functions import ids
+    return raw.select("sub_id", ids.phone(F.col("msisdn")).alias("msisdn"), ids.device(F.col("imsi")).alias("imsi"), ids.device(F.col("imei")).alias("imei"),
+                      *_filled(raw, ("subscriber_name", "father_name", "address", "circle", "connection_type", "activation_date", "email")))
