@@ -90,15 +90,23 @@ def a32(t: Tables):
     return rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
 
 
-@entry("a32_laundering_indicators")
+@entry("a32_laundering_indicators", """
+SELECT 'Circular layering' AS indicator, CASE WHEN (SELECT max(len(acc)) FROM loop_rows) >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity WHERE EXISTS (SELECT 1 FROM loop_rows)
+UNION ALL SELECT 'Rapid cash-out bursts', 'HIGH' WHERE EXISTS (SELECT 1 FROM payouts)
+UNION ALL SELECT 'Cash-through (rapid in and out)', 'CRITICAL' WHERE EXISTS (SELECT 1 FROM in_out_top) UNION ALL SELECT 'Structuring watch', 'LOW'""")
 def a32b(t: Tables):
     return rp.laundering_indicators(rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank)))
 
 
-@entry("a33_recommendations")
+@entry("a33_recommendations", """
+SELECT 'CRITICAL' AS priority, 'Cash-Through' AS category WHERE EXISTS (SELECT 1 FROM in_out_top)
+UNION ALL SELECT 'CRITICAL', 'Complaint' WHERE EXISTS (SELECT 1 FROM acc_heat WHERE contains(flags, 'COMPLAINED_ACCOUNT'))
+UNION ALL SELECT 'HIGH', 'Money-Flow Loop' WHERE EXISTS (SELECT 1 FROM loop_rows) UNION ALL SELECT 'HIGH', 'Rapid Cash-Out' WHERE EXISTS (SELECT 1 FROM payouts)
+UNION ALL SELECT 'HIGH', 'Rule Engine' WHERE EXISTS (SELECT 1 FROM acc_heat WHERE score >= 75)
+UNION ALL SELECT 'MEDIUM', 'Telecom Correlation' WHERE EXISTS (SELECT 1 FROM fused WHERE call_count > 0 OR ipdr_count > 0)""")
 def a33(t: Tables):
     roll = rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
-    return rp.recommendations(roll, rules.account_heat(t.case), rp.fusion_rollup(t.case, links.fused_rows(t.case), links.coincidences(t.case).select("phone")))
+    return rp.recommendations(roll, rules.account_heat(t.case), rp.fusion_rollup(t.case, links.fused_rows(t.case), links.coincidences(t.case).select("phone"))).drop("action")
 
 
 _VOL = "count(*) AS transactions, coalesce(sum(credit), 0) AS credit, coalesce(sum(debit), 0) AS debit, round(avg(amount), 2) AS avg_amount, max(amount) AS max_amount, count(*) FILTER (WHERE debit >= 1000 AND CAST(debit AS BIGINT) % 5000 = 0) AS round_amounts"
