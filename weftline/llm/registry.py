@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import documents
 from weftline.llm.packing import pack_report
+from weftline.llm.quality_rules import rules_report
 from weftline.llm.sharding import shard_report
+from weftline.llm.simhash import duplicate_report
 from weftline.llm.token_counts import count_report
 
 QUERIES, SQL = {}, {}
@@ -35,3 +37,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sharding")
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(documents(spark, sf_dir))
+
+
+@query("op8_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_report(documents(spark, sf_dir))
+
+
+@query("op10_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_report(documents(spark, sf_dir))
