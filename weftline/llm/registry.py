@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import documents
+from weftline.llm.order_minhash import fingerprint_report
 from weftline.llm.packing import pack_report
 from weftline.llm.quality_rules import rules_report
 from weftline.llm.sharding import shard_report
@@ -47,3 +48,8 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_report(documents(spark, sf_dir))
+
+
+@query("op2_order_minhash")
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(documents(spark, sf_dir))
