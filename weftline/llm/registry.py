@@ -12,6 +12,7 @@ from weftline.llm.quality_rules import rules_report
 from weftline.llm.sharding import shard_report
 from weftline.llm.simhash import duplicate_report
 from weftline.llm.token_counts import count_report
+from weftline.llm.toxicity import toxicity_report
 
 QUERIES, SQL = {}, {}
 
@@ -53,3 +54,8 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_order_minhash")
 def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(documents(spark, sf_dir))
+
+
+@query("op4_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
