@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import documents
 from weftline.llm.order_minhash import fingerprint_report
 from weftline.llm.packing import pack_report
+from weftline.llm.personal_data import personal_report
 from weftline.llm.quality_rules import rules_report
 from weftline.llm.sharding import shard_report
 from weftline.llm.simhash import duplicate_report
@@ -59,3 +60,8 @@ def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(documents(spark, sf_dir))
