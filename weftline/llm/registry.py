@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import documents
+from weftline.llm.importance import importance_report
 from weftline.llm.order_minhash import fingerprint_report
 from weftline.llm.packing import pack_report
 from weftline.llm.personal_data import personal_report
 from weftline.llm.quality_rules import rules_report
+from weftline.llm.sentencepiece_match import piece_report
 from weftline.llm.sharding import shard_report
 from weftline.llm.simhash import duplicate_report
 from weftline.llm.token_counts import count_report
@@ -65,3 +67,13 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_report(documents(spark, sf_dir))
+
+
+@query("op7_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_importance")
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
