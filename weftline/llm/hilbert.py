@@ -49,20 +49,18 @@ def transitions(n: int) -> tuple[list[int], list[int]]:
     return digit, after
 
 
-def hilbert_column(coordinates: list[Column], bits: int) -> Column:
-    """Index along the curve of non-negative integers below ``2**bits``, as one bigint column."""
-    n = len(coordinates)
+def hilbert_column(levels: Column, n: int, bits: int) -> Column:
+    """Index along the curve, as bigint, of an array column of ``n`` integers from 0 to ``2**bits`` - 1."""
     digit, after = (F.array(*[F.lit(v) for v in values]) for values in transitions(n))
 
     def step(acc, level):
         cell = acc["cell"]
-        for k, x in enumerate(coordinates):
-            cell = cell + F.call_function("shiftleft", F.call_function("shiftright", x.cast("int"), level).bitwiseAND(F.lit(1)), F.lit(k))
+        for k in range(n):
+            cell = cell + F.call_function("shiftleft", F.call_function("shiftright", F.get(levels, k), level).bitwiseAND(F.lit(1)), F.lit(k))
         return F.transform(F.array(cell), lambda c: F.struct(F.get(after, c).alias("cell"), (F.shiftleft(acc["index"], n) + F.get(digit, c)).alias("index")))[0]
 
     start = F.struct(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("index"))
-    levels = F.array(*[F.lit(i) for i in range(bits - 1, -1, -1)])
-    return F.aggregate(levels, start, step, lambda acc: acc["index"])
+    return F.aggregate(F.array(*[F.lit(i) for i in range(bits - 1, -1, -1)]), start, step, lambda acc: acc["index"])
 
 
 def hilbert_numpy(coordinates: np.ndarray, bits: int) -> np.ndarray:

@@ -36,16 +36,12 @@ def curve_shards(rows: DataFrame, dimensions: list[str], ties: list[str], shards
     """
     own = [c for c in rows.columns if c not in ("curve", "shard", "slot", "position", "total") and not c.startswith("_")]
     table = stored(rows.select(*[f"`{c}`" for c in own]))
-    codes = _ordered_code(table, dimensions)
-    levels = 1 << bits
-    steps = [k / levels for k in range(1, levels)]
-    cuts = table.agg(*[F.percentile_approx(c, steps, 10_000).alias(str(i)) for i, c in enumerate(codes)]).first()
-
-    def level(code: Column, bounds: list[float] | None) -> Column:
-        return F.coalesce(sum((F.when(code > b, 1).otherwise(0) for b in bounds or []), F.lit(0)), F.lit(0))
-
-    coded = table.select("*", *[level(c, cuts[i]).alias(f"_level{i}") for i, c in enumerate(codes)])
-    keyed = coded.select(*[f"`{c}`" for c in own], hilbert_column([F.col(f"_level{i}") for i in range(len(codes))], bits).alias("curve"))
+    every = [f"`{c}`" for c in own]
+    coded = table.select(*every, *[c.alias(f"_code{i}") for i, c in enumerate(_ordered_code(table, dimensions))])
+    top = 1 << bits
+    cuts = coded.agg(*[F.percentile_approx(f"_code{i}", [k / top for k in range(1, top)], 10_000).alias(str(i)) for i in range(len(dimensions))]).first()
+    levels = [sum((F.when(F.col(f"_code{i}") > b, 1).otherwise(0) for b in cuts[i] or []), F.lit(0)) for i in range(len(dimensions))]
+    keyed = coded.select(*every, F.array(*levels).alias("_levels")).select(*every, hilbert_column(F.col("_levels"), len(dimensions), bits).alias("curve"))
     placed = positions(keyed, [F.col("curve"), *[F.col(f"`{t}`") for t in ties]])
     first = F.expr(f"(shard * total) div {shards}")
     shard = F.expr(f"cast((position * {shards} + {shards} - 1) div total as int)")
