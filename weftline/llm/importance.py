@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import positions, python_ready, stored, whole_text
 
-BUCKETS, SMOOTHING, KEPT, SEED = 1 << 14, 1.0, 0.5, 17
+BUCKETS, SMOOTHING, KEPT, SEED = 1 << 14, 1.0, 0.8, 17
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 

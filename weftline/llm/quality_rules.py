@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE_CLASS, SPACES, whole_text
+from weftline.llm.common import SPACE_CLASS, SPACES, settled, whole_text
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -80,7 +80,7 @@ def line_cleaned(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their failing lines removed; ``n_chars``, where there is one, follows the text."""
-    kept = line_cleaned(docs).where("kept")
+    kept = settled(line_cleaned(docs)).where("kept")
     return kept.select(*[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
