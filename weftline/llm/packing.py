@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,19 +18,20 @@ from weftline.llm.tokens import Encoder, loaded
 DIMENSIONS, BITS, END = 4, 8, 0
 
 
-def signs(ids: np.ndarray) -> np.ndarray:
-    """A row of +1 and -1 for each token id, by hashing."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+@lru_cache
+def signs(ids: int) -> np.ndarray:
+    """A row of +1 and -1 for each token id below ``ids``, by hashing."""
+    x = np.arange(1, ids + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     return ((x[:, None] >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1
 
 
-def curve_point(ids: np.ndarray) -> np.ndarray:
+def curve_point(ids: np.ndarray, vocabulary: int) -> np.ndarray:
     """Quantised projection of the hashed vector of a document's distinct tokens."""
     distinct = np.unique(ids)
-    x = signs(distinct).sum(0) / max(1.0, np.sqrt(len(distinct)))
+    x = signs(vocabulary)[distinct].sum(0) / max(1.0, np.sqrt(len(distinct)))
     return np.minimum((1 << BITS) - 1, ((np.tanh(x / 2) + 1) / 2 * (1 << BITS)).astype(np.int64))
 
 
@@ -41,7 +43,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
         end = np.array([END], tool.width)
         for batch in batches:
             ids = [np.concatenate([tool.ids(t), end]) for t in batch["text"]]
-            points = np.array([curve_point(x) for x in ids]).reshape(-1, DIMENSIONS)
+            points = np.array([curve_point(x, tool.size) for x in ids]).reshape(-1, DIMENSIONS)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(x) for x in ids], "curve": hilbert_numpy(points, BITS), "ids": [x.tobytes() for x in ids], "wide": [x.itemsize for x in ids]})
 
     python_ready(docs.sparkSession)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -25,6 +25,27 @@ def _splitter() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
+def _byte_of() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _by_rank(path: str):
+    """A rank-merging encoder of one pre-token for a vocabulary whose ids follow the order of its merges, else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    byte = _byte_of()
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if i < 256 + len(pairs)}
+    return tiktoken.Encoding("pre-tokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Token ids of whole texts, equal to the library's with its default handling of special strings.
 
@@ -37,8 +58,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.width = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.size = self.library.get_vocab_size()
+        self.width = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.split = _splitter().findall
+        self.single = _by_rank(path)
         self.foreign = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]").search
         self.entries, self.known, self.base = entries, {}, {}
 
@@ -54,8 +77,8 @@ class Encoder:
         if len(self.known) + len(new) > self.entries:
             self.known = dict(self.base)
             new = [p for p in pieces if p not in self.known]
-        for piece, encoded in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[sys.intern(piece) if len(piece) < 32 else piece] = self.value(encoded.ids)
+        found = map(self.single, new) if self.single else (e.ids for e in self.library.encode_batch(new, add_special_tokens=False))
+        self.known.update(zip(new, map(self.value, found)))
 
     def values(self, text: str) -> list:
         if not self.plain(text):
