@@ -152,5 +152,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def personal_report(docs: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) AS bigint)").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return all_spans(docs).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
