@@ -113,13 +113,15 @@ def links(fingerprints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return h.join(r, close).select(F.col("h.fp").alias("src"), F.col("r.fp").alias("dst")).distinct()
 
 
-def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component): component is any one fingerprint of the group, the same for all of it."""
+def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fingerprint), and one row for each fingerprint with its ``component`` and smallest doc_id.
+
+    The component is any one fingerprint of the group, the same for all of it.
+    """
     rows = stored(with_fingerprint(docs))
-    groups = stored(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")))
-    joined = stored(components(links(groups, threshold))).withColumnRenamed("node", "fingerprint")
-    member = groups.join(joined, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"))
-    return rows.join(member, "fingerprint")
+    groups = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    joined = components(stored(links(groups, threshold))).withColumnRenamed("node", "fingerprint")
+    return rows, stored(groups.join(joined, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -129,9 +131,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Texts without words share fingerprint zero and link like others. Repeated rows keep their own output rows; a null
     doc_id joins a group but never names it unless no other does. An empty table gives no rows; extra columns are ignored.
     """
-    rows = stored(grouped(docs, threshold))
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component").select("doc_id", "fingerprint", "component_id")
+    rows, member = grouped(docs, threshold)
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = member.join(least, "component").select("fingerprint", "component_id")
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -139,8 +142,10 @@ def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Identical rows count as one. Columns are those of ``docs``.
     """
-    rows = grouped(docs, threshold)
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    rows, member = grouped(docs, threshold)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = rows.groupBy("fingerprint").agg(F.min(order).alias("f"))
+    first = member.join(best, "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
     keyed = docs.withColumn("_own", F.xxhash64("text"))
     kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
