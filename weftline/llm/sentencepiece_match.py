@@ -196,7 +196,7 @@ def piece_ids(docs: DataFrame, model: str) -> DataFrame:
         tool = Cached(model)
         for batch in batches:
             ids = tool.encode(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "decoded": [tool.model.decode(x.tolist()) for x in ids]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "decoded": pd.Series([tool.model.decode(x.tolist()) for x in ids], dtype=object)})
 
     python_ready(docs.sparkSession)
     return docs.select("doc_id", whole_text().alias("text")).mapInPandas(encode, "doc_id long, ids binary, decoded string")
