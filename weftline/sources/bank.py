@@ -172,49 +172,56 @@ def read_complaints(texts: DataFrame) -> DataFrame:
     return out.where("account_no is not null")
 
 
-def _csv(spark, path: str) -> DataFrame:
-    return spark.read.option("header", "true").csv(path)
+def _labelled(texts: DataFrame, first: str) -> DataFrame:
+    """Rows of files whose header line holds the column ``first``."""
+    return table(cells(texts), F.array_contains("cells", first))
 
 
-def read_synthetic_bank(spark, path: str) -> DataFrame:
+def read_synthetic_bank(texts: DataFrame) -> DataFrame:
     """Labelled synthetic payments (one row per transfer, sender side)."""
-    c = F.col
-    d = _csv(spark, path)
-    amount = c("Transaction_Amount").try_cast("double")
-    return d.select(c("Transaction_ID").alias("txn_id"), c("Sender_Bank_Name").alias("bank"), c("Sender_Account_Number").alias("account_no"), c("Sender_Customer_Name").alias("account_name"),
-                    c("Sender_Customer_ID").alias("customer_id"), c("Sender_IFSC").alias("ifsc"), c("Receiver_Account_Number").alias("receiver_account"), amount.alias("debit"),
-                    F.lit(None).cast("double").alias("credit"), F.lit("D").alias("txn_type"), ids.phone(c("Sender_Phone_Number")).alias("sender_phone"),
-                    ids.phone(c("Receiver_Phone_Number")).alias("receiver_phone"), c("Transaction_Mode").alias("mode"), c("Receiver_Customer_Name").alias("counterparty_name"),
-                    c("Receiver_Bank_Name").alias("counterparty_bank"), c("Date").alias("date"), c("Timestamp").alias("time"), clock.to_epoch(c("Date"), c("Timestamp")).alias("ts"))
-
-
-def read_synthetic_calls(spark, path: str) -> DataFrame:
-    c = F.col
-    return _csv(spark, path).select(c("CDR_ID").alias("cdr_id"), c("Operator").alias("operator"), ids.phone(c("A_Party_Number")).alias("a_number"), ids.phone(c("B_Party_Number")).alias("b_number"),
-                                    c("Call_Type").alias("call_type"), F.coalesce(c("Call_Duration_Seconds").try_cast("long"), F.lit(0)).alias("duration_sec"), ids.device(c("IMEI")).alias("imei"),
-                                    ids.device(c("IMSI")).alias("imsi"), c("First_Cell_Global_ID").alias("cell_id_first"), c("First_BTS_Location").alias("bts_location_first"),
-                                    c("Roaming_Network_Circle").alias("roaming_circle"), c("Call_Date").alias("date"), c("Call_Start_Time").alias("time"),
-                                    clock.to_epoch(c("Call_Date"), c("Call_Start_Time")).alias("ts"))
-
-
-def read_synthetic_sessions(spark, path: str) -> DataFrame:
-    c = F.col
+    c = cell
+    amount = F.coalesce(c("Transaction_Amount").try_cast("double"), F.lit(0.0))
+    return _labelled(texts, "Transaction_ID").select(
+        c("Transaction_ID").alias("txn_id"), c("Sender_Bank_Name").alias("bank"), c("Sender_Account_Number").alias("account_no"), c("Sender_Customer_Name").alias("account_name"),
+        c("Sender_Customer_ID").alias("customer_id"), c("Sender_IFSC").alias("ifsc"), c("Receiver_Account_Number").alias("receiver_account"), amount.alias("amount"), amount.alias("debit"),
+        F.lit(None).cast("double").alias("credit"), F.lit("D").alias("txn_type"), ids.phone(c("Sender_Phone_Number")).alias("sender_phone"),
+        ids.phone(c("Receiver_Phone_Number")).alias("receiver_phone"), F.upper(c("Transaction_Mode")).alias("mode"), c("Receiver_Customer_Name").alias("counterparty_name"),
+        c("Receiver_Bank_Name").alias("counterparty_bank"), F.concat_ws(" ", c("Transaction_Mode"), c("Receiver_Customer_Name")).alias("narration"), c("Date").alias("date"), c("Timestamp").alias("time"),
+        clock.to_epoch(c("Date"), c("Timestamp")).alias("ts"), F.col("file").alias("source_file"), F.lit("synthetic_csv").alias("source_format"))
+
+
+def read_synthetic_calls(texts: DataFrame) -> DataFrame:
+    c = cell
+    return _labelled(texts, "CDR_ID").select(
+        c("CDR_ID").alias("cdr_id"), c("Operator").alias("operator"), ids.phone(c("A_Party_Number")).alias("a_number"), ids.phone(c("B_Party_Number")).alias("b_number"),
+        c("Call_Type").alias("call_type"), F.coalesce(c("Call_Duration_Seconds").try_cast("long"), F.lit(0)).alias("duration_sec"), ids.device(c("IMEI")).alias("imei"),
+        ids.device(c("IMSI")).alias("imsi"), c("First_Cell_Global_ID").alias("cell_id_first"), c("First_BTS_Location").alias("bts_location_first"), c("Roaming_Network_Circle").alias("roaming_circle"),
+        c("Call_Date").alias("date"), c("Call_Start_Time").alias("time"), clock.to_epoch(c("Call_Date"), c("Call_Start_Time")).alias("ts"), F.col("file").alias("source_file"),
+        F.lit("synthetic_csv").alias("source_format"))
+
+
+def read_synthetic_sessions(texts: DataFrame) -> DataFrame:
+    c = cell
     start = clock.to_epoch(c("Session_Date"), c("Session_Start_Time"))
     dur = F.coalesce(c("Session_Duration_Seconds").try_cast("double").cast("long"), F.lit(0).cast("long"))
-    return _csv(spark, path).select(c("IPDR_ID").alias("ipdr_id"), c("Operator").alias("operator"), ids.phone(c("Subscriber_MSISDN")).alias("msisdn"), ids.device(c("Subscriber_IMSI")).alias("imsi"),
-                                    ids.device(c("Device_IMEI")).alias("imei"), ids.ip(c("Source_IP_Address")).alias("source_ip"), ids.ip(c("Destination_IP_Address")).alias("dest_ip"),
-                                    c("Destination_Port").alias("dest_port"), c("Cell_Global_ID").alias("cell_id"), c("Session_Date").alias("date"), c("Session_Start_Time").alias("start_time"),
-                                    start.alias("start_ts"), (start + dur).alias("end_ts"), dur.alias("duration_sec"))
+    return _labelled(texts, "IPDR_ID").select(
+        c("IPDR_ID").alias("ipdr_id"), c("Operator").alias("operator"), ids.phone(c("Subscriber_MSISDN")).alias("msisdn"), ids.device(c("Subscriber_IMSI")).alias("imsi"),
+        ids.device(c("Device_IMEI")).alias("imei"), ids.ip(c("Source_IP_Address")).alias("source_ip"), ids.ip(c("Destination_IP_Address")).alias("dest_ip"), c("Destination_Port").alias("dest_port"),
+        c("Cell_Global_ID").alias("cell_id"), c("Session_Date").alias("date"), c("Session_Start_Time").alias("start_time"), start.alias("start_ts"), (start + dur).alias("end_ts"),
+        dur.alias("duration_sec"), F.col("file").alias("source_file"), F.lit("synthetic_csv").alias("source_format"))
 
 
-def read_truth(spark, path: str) -> DataFrame:
-    """Labelled suspicious payments: id, scope, scenario and the list of session ids."""
-    c = F.col
-    return _csv(spark, path).where(c("Is_Suspicious") == "1").select(c("Anomaly_ID").alias("anomaly_id"), c("Transaction_ID").alias("transaction_id"), c("Source_Scope").alias("scope"),
-                                                                     c("Scenario_Type").alias("scenario"), F.filter(F.split("IPDR_IDs", ";"), lambda x: x != "").alias("ipdr_ids"))
+def read_truth(texts: DataFrame) -> DataFrame:
+    """Labelled suspicious payments: ids, scope, scenario, customer, difficulty and the lists of call and session ids."""
+    c = cell
+    each = lambda name: F.filter(F.transform(F.split(F.coalesce(c(name), F.lit("")), ";"), F.trim), lambda x: x != "")
+    return _labelled(texts, "Anomaly_ID").where(c("Is_Suspicious") == "1").select(
+        c("Anomaly_ID").alias("anomaly_id"), c("Transaction_ID").alias("transaction_id"), c("Source_Scope").alias("scope"), c("Scenario_Type").alias("scenario"),
+        c("customer_id", "Customer_ID").alias("customer_id"), c("difficulty", "Difficulty").alias("difficulty"), F.when(c("CDR_IDs").isNotNull(), each("CDR_IDs")).otherwise(each("cdr_ids")).alias("cdr_ids"),
+        each("IPDR_IDs").alias("ipdr_ids"))
 
 
-def read_true_pairs(spark, path: str, left: str, right: str) -> DataFrame:
+def read_true_pairs(texts: DataFrame, left: str, right: str) -> DataFrame:
     """Labelled correlated pairs, e.g. ``Transaction_ID`` with ``CDR_ID``."""
-    return _csv(spark, path).where(F.col("Is_Correlated") == "1").select(F.col(left).alias("left_id"), F.col(right).alias("right_id"),
-                                                                         F.abs(F.col("Time_Difference_Seconds").try_cast("long")).alias("time_diff"))
+    rows = table(cells(texts), F.array_contains("cells", left) & F.array_contains("cells", right) & F.array_contains("cells", "Is_Correlated"))
+    return rows.where(cell("Is_Correlated") == "1").select(cell(left).alias("left_id"), cell(right).alias("right_id"), F.abs(cell("Time_Difference_Seconds").try_cast("long")).alias("time_diff"))

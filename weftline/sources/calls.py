@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import clock, ids
-from weftline.sources.delimited import cell, cells, preamble, read_texts, table
+from weftline.sources.delimited import cell, cells, read_texts, table
 
 CDR_COLUMNS = ("a_number", "b_number", "service_type", "imei", "imsi", "cell_id_first", "cell_id_last", "bts_location_first", "bts_location_last",
                "roaming_circle", "msc_id", "lrn_b_party", "lrn_translation", "lat_first", "lon_first")
@@ -100,51 +100,65 @@ def read_calls(texts: DataFrame, layout: Layout) -> DataFrame:
         "*", clock.to_epoch(F.col("date"), F.col("time")).alias("ts"), F.lit(layout.name).alias("source_format"))
 
 
-# Header synonyms of data-session exports (provider export first, generic names after).
-SESSION_HEADERS = {
-    "msisdn": ("MSISDN", "Landline/MSISDN/MDN/Leased Circuit ID for Internet Access", "msisdn", "phone", "mobile"), "imsi": ("IMSI", "imsi"), "imei": ("IMEI", "imei"),
-    "source_ip": ("Source IP Address", "source_ip", "src_ip", "ip"), "dest_ip": ("Destination IP Address", "dest_ip", "destination_ip", "dst_ip"),
-    "dest_port": ("Destination Port", "dest_port", "port"), "cell_id": ("Cell ID", "First Cell ID", "cell_id"),
-    "date": ("Start Date", "Session Date", "date", "session_date"), "start_time": ("Start Time", "Session Start Time", "start_time", "time"),
-    "duration": ("Session Duration", "Duration", "duration", "duration_sec"), "up": ("Data Volume Up Link", "volume_up", "upload"), "down": ("Data Volume Down Link", "volume_down", "download"),
+# Headers of the provider's session export, the first that is there counts.
+PROVIDER_SESSION = {
+    "msisdn": ("Landline/MSISDN/MDN/Leased Circuit ID for Internet Access",), "source_ip": ("Source IP Address (IP Address Assigned/Translated)", "Source IP Address"),
+    "public_ip": ("Public IP Address",), "dest_ip": ("Destination IP Address",), "dest_port": ("Destination Port",), "user_id": ("User Id for internet Access based on authentication",),
+    "mac": ("Source MAC-ID Address/Other device Identification number",), "imsi": ("IMSI",), "imei": ("IMEI",), "apn": ("Access Point Name",), "cell_id": ("CGI ID",),
+    "date": ("Start Date of Public IP Address allocation (dd/mm/yyyy)", "Start Date of Public IP Address allocation"),
+    "start_time": ("IST Start Time of Public IP address allocation (hh:mm:ss)", "IST Start Time"), "end_time": ("IST End Time of Public IP address allocation (hh:mm:ss)", "IST End Time"),
+    "duration_sec": ("Session Duration",), "volume_up": ("Data Volume Up Link",), "volume_down": ("Data Volume Down Link",), "roaming_circle": ("Roaming Circle",),
+    "is_static": ("Static/Dynamic IP Address Allocation",),
 }
+# Headers of plain session exports, in lower case, in order of preference.
+PLAIN_SESSION = {
+    "source_ip": ("source ip", "source ip address", "ip address", "ip", "public ip"), "dest_ip": ("destination ip", "dest ip"), "date": ("start date", "date", "f date", "start_date"),
+    "start_time": ("start time", "time", "f time", "start_time", "time(ist)"), "msisdn": ("msisdn", "phone", "mobile"), "imsi": ("imsi",), "imei": ("imei",),
+    "dest_port": ("destination port", "dest port"), "cell_id": ("cell id", "cell_id", "first cell id"), "end_time": ("end time", "t time", "end_time"), "duration_sec": ("session duration", "duration"),
+}
+SESSION_COLUMNS = ("msisdn", "imsi", "imei", "user_id", "mac", "source_ip", "public_ip", "dest_ip", "dest_port", "apn", "cell_id", "date", "start_time", "end_time", "duration_sec",
+                   "volume_up", "volume_down", "roaming_circle", "is_static")
 
 
-def read_sessions(texts: DataFrame) -> DataFrame:
-    """Provider or generic data-session exports; field names are mapped to the canonical ones."""
-    rows = cells(texts)
-    known = [h.lower() for h in (*SESSION_HEADERS["msisdn"], *SESSION_HEADERS["imsi"])]
-    head = F.exists("cells", lambda x: F.lower(x).isin(*known)) & (F.size("cells") >= 4)
-    t = table(rows, head)
-    t = t.select("file", "line", *[cell(*names).alias(f"r_{k}") for k, names in SESSION_HEADERS.items()])
-    v = {k: F.col(f"r_{k}") for k in SESSION_HEADERS}
-    whole = lambda c: F.coalesce(F.floor(c.try_cast("double")).cast("long"), F.lit(0).cast("long"))
-    date, time = clock.parse_date(v["date"]), clock.parse_time(v["start_time"])
-    out = t.select("file", "line", ids.phone(v["msisdn"]).alias("msisdn"), ids.device(v["imsi"]).alias("imsi"), ids.device(v["imei"]).alias("imei"), ids.ip(v["source_ip"]).alias("source_ip"),
-                   ids.ip(v["dest_ip"]).alias("dest_ip"), v["dest_port"].alias("dest_port"), v["cell_id"].alias("cell_id"), date.alias("date"), time.alias("start_time"),
-                   whole(v["duration"]).alias("duration_sec"), whole(v["up"]).alias("volume_up"), whole(v["down"]).alias("volume_down"))
-    start = clock.to_epoch(F.col("date"), F.col("start_time"))
-    return out.where("date is not null").select(
-        F.concat_ws("_", F.lit("ipdr"), F.substring(F.sha2("file", 256), 1, 8), F.col("line").cast("string")).alias("ipdr_id"), "*",
-        start.alias("start_ts"), (start + F.col("duration_sec")).alias("end_ts"))
+def _sessions(t: DataFrame, names: dict[str, tuple[str, ...]], operator: str, source_format: str) -> DataFrame:
+    """Rows of a session table under canonical names; values that a layout lacks are null, amounts 0."""
+    v = {k: cell(*names[k]) if k in names else F.lit(None).cast("string") for k in SESSION_COLUMNS}
+    shape = {"msisdn": ids.phone, "imsi": ids.device, "imei": ids.device, "source_ip": ids.ip, "public_ip": ids.ip, "dest_ip": ids.ip, "date": clock.parse_date, "start_time": clock.parse_time,
+             "end_time": clock.parse_time} | {k: lambda c: F.coalesce(F.floor(c.try_cast("double")).cast("long"), F.lit(0).cast("long")) for k in ("duration_sec", "volume_up", "volume_down")}
+    raw = t.select("file", "line", *[c.alias(k) for k, c in v.items()])
+    out = raw.select("file", "line", *[(shape[k](F.col(k)) if k in shape else F.col(k)).alias(k) for k in SESSION_COLUMNS])
+    start, end = clock.to_epoch(F.col("date"), F.col("start_time")), clock.to_epoch(F.col("date"), F.col("end_time"))
+    return out.select(F.concat_ws("_", F.lit("ipdr"), F.substring(F.sha2("file", 256), 1, 8), F.col("line").cast("string")).alias("ipdr_id"), F.lit(operator).alias("operator"), "*",
+                      start.alias("start_ts"), F.coalesce(end, start + F.col("duration_sec")).alias("end_ts"), F.lit(source_format).alias("source_format"))
+
+
+def read_provider_sessions(texts: DataFrame) -> DataFrame:
+    """The provider's 24-column export: the header line is the first whose first cell names the landline or subscriber."""
+    head = F.contains(F.lower(F.col("cells")[0]), F.lit("landline"))
+    return _sessions(table(cells(texts), head), PROVIDER_SESSION, "Jio", "jio_ipv6").where("date is not null")
+
+
+def read_plain_sessions(texts: DataFrame) -> DataFrame:
+    """Any table of sessions with a column for the source address; rows whose address does not look like one are left out."""
+    low = cells(texts)
+    head = F.exists("cells", lambda x: F.lower(x).isin(*PLAIN_SESSION["source_ip"])) & (F.size("cells") >= 2)
+    t = table(low, head).withColumn("row", F.transform_keys("row", lambda k, _: F.lower(k)))
+    return _sessions(t, PLAIN_SESSION, "Unknown", "ipdr_csv").where(F.col("source_ip").rlike("^[0-9A-Fa-f:.]+"))
 
 
 def read_subscribers(texts: DataFrame) -> DataFrame:
-    """Key and value export: one subscriber per file; address lines are joined in order."""
-    rows = cells(texts).where(F.size("cells") >= 2).select("file", "line", F.lower(F.regexp_replace(F.col("cells")[0], r"[:\s]+$", "")).alias("k"),
-                                                           F.array_join(F.slice("cells", 2, 50), " ").alias("v")).where("v <> ''")
-    pick = lambda *names: F.min_by(F.when(F.col("k").isin(*names), F.col("v")), F.when(F.col("k").isin(*names), F.col("line")))
-    address = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("k").startswith("address"), F.struct("line", "v")))), lambda x: x["v"]), ", ")
-    g = rows.groupBy("file").agg(pick("mobile number", "msisdn", "mobile no").alias("msisdn"), pick("subscriber name", "name", "customer name").alias("subscriber_name"),
-                                 pick("imsi").alias("imsi"), pick("imei").alias("imei"), pick("circle").alias("circle"), pick("activation date", "doa").alias("activation"), address.alias("address"))
-    return g.where("msisdn is not null").select(
-        F.concat(F.lit("sub_"), F.substring(F.sha2("file", 256), 1, 8)).alias("sub_id"), ids.phone(F.col("msisdn")).alias("msisdn"), "subscriber_name", ids.device(F.col("imsi")).alias("imsi"),
-        ids.device(F.col("imei")).alias("imei"), "circle", clock.parse_date(F.col("activation")).alias("activation_date"), "address", F.col("file").alias("source_file"))
-
-
-def query_preamble(texts: DataFrame, layout: Layout) -> DataFrame:
-    """Preamble lines of a layout's files, for audit."""
-    return preamble(cells(texts), _starts(layout.header))
+    """A header line and a line of values: one subscriber for each line of values."""
+    head = F.exists("cells", lambda x: F.lower(x) == "msisdn")
+    t = table(cells(texts), head).withColumn("row", F.transform_keys("row", lambda k, _: F.lower(k)))
+    v = lambda *names: cell(*names)
+    joined = lambda *names: F.nullif(F.trim(F.concat_ws(" ", *[cell(n) for n in names])), F.lit(""))
+    extra = ("father name", "date of birth", "identification type", "identification number", "gender", "alternate number", "activation date", "sim type", "mobile imsi")
+    notes = F.array_join(F.filter(F.array(*[F.when(cell(n).isNotNull(), F.concat(F.lit(n + "="), cell(n))) for n in extra]), lambda x: x.isNotNull()), "; ")
+    return t.where(v("msisdn").isNotNull()).select(
+        F.concat_ws("_", F.lit("sub"), F.substring(F.sha2("file", 256), 1, 8), F.col("line").cast("string")).alias("sub_id"), ids.phone(v("msisdn")).alias("msisdn"),
+        joined("first name", "last name").alias("subscriber_name"), ids.device(v("mobile imsi", "imsi")).alias("imsi"), ids.device(v("imei")).alias("imei"), v("circle id", "circle").alias("circle"),
+        v("service type").alias("connection_type"), clock.parse_date(v("activation date")).alias("activation_date"),
+        joined("subscriber address1", "subscriber address2", "subscriber address3", "subscriber address4").alias("address"), notes.alias("raw_meta"), F.col("file").alias("source_file"))
 
 
 def load_calls(spark: SparkSession, path: str, layout_name: str) -> DataFrame:

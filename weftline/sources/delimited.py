@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 EMPTY = ("", "-", "--", "---", "NA", "N/A", "null", "NULL")
 
 
-def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, text): UTF-8 with or without mark, UTF-16 by its mark, else Latin-1."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_texts(spark: SparkSession, path: str | list[str], kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(file, text): UTF-8 with or without mark, UTF-16 by its mark, else Latin-1. ``kinds``: extensions to open, all if empty."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if kinds:
+        raw = raw.option("pathGlobFilter", "*.{" + ",".join(k for x in kinds for k in (x, x.upper())) + "}")
+    raw = raw.load(path)
     c = F.col("content")
     head = F.hex(F.substring(c, 1, 3))
     utf16 = F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(c, "UTF-16"))
@@ -35,8 +38,7 @@ def clean_cell(c: Column) -> Column:
 
 def cells(texts: DataFrame) -> DataFrame:
     """(file, line, cells): the delimiter is the most frequent of tab, semicolon, pipe and comma per file."""
-    sample = F.substring("text", 1, 4096)
-    count = lambda d: F.length(sample) - F.length(F.replace(sample, F.lit(d)))
+    count = lambda d: F.length("text") - F.length(F.replace("text", F.lit(d)))
     best = F.array_max(F.array(*[F.struct(count(d).alias("n"), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate("\t|;,")]))
     body = F.regexp_replace("text", '="', '"')
     lines = F.posexplode(F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n"))
@@ -58,16 +60,10 @@ def table(rows: DataFrame, is_header: Column) -> DataFrame:
     n = F.least(F.size("header"), F.size("cells"))
     entries = F.zip_with(F.slice("header", F.lit(1), n), F.slice("cells", F.lit(1), n), lambda h, v: F.struct(h.alias("h"), v.alias("v")))
     # a repeated header name keeps its last cell
-    unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(1000)), lambda o: o["h"] == e["h"]))
+    unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, n), lambda o: o["h"] == e["h"]))
     return j.select("file", "line", F.col("cells")[0].alias("first"), F.map_from_entries(unique).alias("row"))
 
 
-def preamble(rows: DataFrame, is_header: Column) -> DataFrame:
-    """Rows above the first header line."""
-    first = rows.where(is_header).groupBy("file").agg(F.min("line").alias("header_line"))
-    return rows.join(first, "file").where(F.col("line") < F.col("header_line")).drop("header_line")
-
-
 def cell(*names: str) -> Column:
     """First non-empty cell under any of the header names."""
     out = [F.try_element_at("row", F.lit(n)) for n in names]
