@@ -167,13 +167,13 @@ view("f_ipdr", f"""
 view("f_complaint", """
   SELECT 'cmp_' || c_custkey AS complaint_id, '1000' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS account_no,
     n_name AS state, 'Axis Bank' AS bank_name, 'ACK' || c_custkey AS ack_no, '91' || (9000000000 + c_custkey) AS mobile
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 150 AND c_acctbal < 0""")
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0""")
 
 view("f_sub", """
   SELECT 'sub_' || c_custkey AS sub_id, '91' || (9000000000 + c_custkey) AS msisdn,
     CAST(404000000000000 + c_custkey AS VARCHAR) AS imsi,
     CAST(350000000000000 + (c_custkey // 2) * 3 AS VARCHAR) AS imei, c_name AS subscriber_name, c_mktsegment AS circle
-  FROM customer WHERE c_custkey < 150""")
+  FROM customer""")
 
 view("f_ledger", """
   SELECT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'

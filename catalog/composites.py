@@ -150,9 +150,9 @@ def x18(t: Tables):
 
 @entry("p12_enriched_rows", """
 SELECT b.txn_id AS transaction_id, b.account_no, b.account_name AS sender_name, coalesce(b.counterparty_name, b.merchant_name, '') AS receiver_name,
-  b.sender_phone, b.receiver_phone, b.date, b.mode FROM f_bank b WHERE debit >= 100000""")
+  b.sender_phone, b.receiver_phone, b.date, b.mode FROM f_bank b""")
 def p12(t: Tables):
-    rows = t.bank.where("debit >= 100000").select(F.col("txn_id").alias("transaction_id"), "account_no")
+    rows = t.bank.select(F.col("txn_id").alias("transaction_id"), "account_no")
     return cp.enrich(rows, t.bank).select("transaction_id", "account_no", "sender_name", F.coalesce("receiver_name", F.lit("")).alias("receiver_name"),
                                           "sender_phone", "receiver_phone", "date", "mode")
 
@@ -267,7 +267,7 @@ view("top_ascen", "SELECT account_no, scenario, confidence FROM ascen QUALIFY ro
 
 @entry("r12_explain_accounts", """
 SELECT a.account_no, concat_ws(' ', 'Account-level scenario: ' || s.scenario || ' (confidence ' || CAST(round(s.confidence * 100, 0) AS INTEGER) || '%).',
-  CASE WHEN layering_depth >= 2 THEN 'Funds layer through ' || layering_depth || ' hops.' END, CASE WHEN circular THEN 'Account sits inside a circular money-flow ring.' END,
+  CASE WHEN layering_depth >= 2 THEN 'Money passes on over ' || layering_depth || ' further accounts.' END, CASE WHEN circular THEN 'Part of what it sends comes back to it.' END,
   CASE WHEN shared_entities >= 3 THEN 'Shares identifiers on ' || shared_entities || ' counts.' END) AS narrative FROM acomp a LEFT JOIN top_ascen s USING (account_no)""")
 def r12b(t: Tables):
     flow = cut(g.money_flow(t.bank))

@@ -72,15 +72,14 @@ def g3(t: Tables):
     return g.degrees(g.flow_edges(t.bank), "amount")
 
 
-# strong ties only, so that the graph falls apart into several components
-view("tie_e", "SELECT src, dst FROM call_e WHERE weight >= 3")
+view("tie_e", "SELECT src, dst FROM call_e")
 view("tie_reach", """
   SELECT node, node AS other FROM (SELECT src AS node FROM tie_e UNION SELECT dst FROM tie_e)
   UNION SELECT r.node, CASE WHEN e.src = r.other THEN e.dst ELSE e.src END FROM tie_reach r JOIN tie_e e ON e.src = r.other OR e.dst = r.other""")
 
 
 def ties(t: Tables):
-    return g.call_edges(t.cdr).where("weight >= 3")
+    return g.call_edges(t.cdr)
 
 
 @entry("g3_components", "SELECT node, min(other) AS component FROM tie_reach GROUP BY 1")
@@ -107,13 +106,16 @@ def k6(t: Tables):
 
 view("seeds", "SELECT account_no AS node FROM f_complaint")
 view("und_layer", "SELECT src, dst FROM layer_e WHERE src <> dst UNION SELECT dst, src FROM layer_e WHERE src <> dst")
+view("hop1", "SELECT DISTINCT s.node AS seed, e.dst AS node FROM seeds s JOIN und_layer e ON e.src = s.node")
+view("hop2", "SELECT DISTINCT h.seed, e.dst AS node FROM hop1 h JOIN und_layer e ON e.src = h.node")
 view("hops", """
   SELECT seed, node, min(hop) AS hop FROM (
     SELECT node AS seed, node, 0 AS hop FROM seeds
     UNION ALL SELECT s.node, e.dst, 1 FROM seeds s JOIN und_layer e ON e.src = s.node
-    UNION ALL SELECT DISTINCT s.node, f.dst, 2 FROM seeds s JOIN und_layer e ON e.src = s.node JOIN und_layer f ON f.src = e.dst) GROUP BY 1, 2""")
+    UNION ALL SELECT h.seed, f.dst, 2 FROM hop1 h JOIN und_layer f ON f.src = h.node
+    UNION ALL SELECT h.seed, f.dst, 3 FROM hop2 h JOIN und_layer f ON f.src = h.node) GROUP BY 1, 2""")
 view("traced", """
-  SELECT h.seed, e.src, e.dst, e.edge_type, min(h.hop) + 1 AS hop_distance, max(e.amount) AS amount FROM layer_e e JOIN hops h ON (h.node = e.src OR h.node = e.dst) AND h.hop < 2 GROUP BY 1, 2, 3, 4""")
+  SELECT h.seed, e.src, e.dst, e.edge_type, min(h.hop) + 1 AS hop_distance, max(e.amount) AS amount FROM layer_e e JOIN hops h ON (h.node = e.src OR h.node = e.dst) AND h.hop < 3 GROUP BY 1, 2, 3, 4""")
 
 
 def seeds(t: Tables):
@@ -122,21 +124,21 @@ def seeds(t: Tables):
 
 @entry("g4_trace_layers", "SELECT seed, node, hop FROM hops")
 def g4(t: Tables):
-    return g.trace(seeds(t), layered(t), 2)[0]
+    return g.trace(seeds(t), layered(t))[0]
 
 
 @entry("g4_trace_edges", "SELECT * FROM traced")
 def g4b(t: Tables):
-    return g.trace(seeds(t), layered(t), 2)[1]
+    return g.trace(seeds(t), layered(t))[1]
 
 
 @entry("g4_investigation_graph", """
 WITH d AS (SELECT seed, node, count(*) AS degree FROM (SELECT seed, unnest([src, dst]) AS node FROM traced) GROUP BY 1, 2),
-j AS (SELECT h.*, round(coalesce(degree, 0) / max(degree) OVER (PARTITION BY h.seed), 2) AS centrality FROM hops h LEFT JOIN d USING (seed, node))
+j AS (SELECT h.*, coalesce(round(coalesce(degree, 0) / max(degree) OVER (PARTITION BY h.seed), 2), 0) AS centrality FROM hops h LEFT JOIN d USING (seed, node))
 SELECT seed, node, hop, centrality, CASE WHEN node = seed THEN 'Root Entity' WHEN centrality >= 0.7 THEN 'High-Centrality Hub' WHEN hop = 1 THEN 'Direct Mule / Layer-1'
   WHEN hop = 2 THEN 'Layer-2 Intermediate' ELSE 'Layer-3 Offramp' END AS role FROM j""")
 def g4c(t: Tables):
-    layers, edges = g.trace(seeds(t), layered(t), 2)
+    layers, edges = g.trace(seeds(t), layered(t))
     return g.investigation_graph(layers, edges)
 
 
@@ -164,14 +166,14 @@ def g6(t: Tables):
 
 
 view("acc_e", "SELECT DISTINCT src, dst FROM flow_e WHERE NOT starts_with(dst, 'CTP:') AND src <> dst")
-view("big_e", "SELECT DISTINCT account_no AS src, receiver_account AS dst FROM f_bank WHERE debit >= 400000 AND account_no <> receiver_account")
+view("big_e", "SELECT DISTINCT account_no AS src, receiver_account AS dst FROM f_bank WHERE debit > 0 AND account_no <> receiver_account")
 view("big_reach", "SELECT src, dst FROM big_e UNION SELECT r.src, e.dst FROM big_reach r JOIN big_e e ON e.src = r.dst")
 
 
 @entry("g7_strong_components", """
 SELECT a.src AS node, least(a.src, min(a.dst)) AS scc FROM big_reach a JOIN big_reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1""")
 def g7(t: Tables):
-    e = t.bank.where("debit >= 400000 and account_no <> receiver_account").select(
+    e = t.bank.where("debit > 0 and account_no <> receiver_account").select(
         F.col("account_no").alias("src"), F.col("receiver_account").alias("dst")).distinct()
     return g.strong_components(e).select("node", "scc")
 
@@ -190,7 +192,6 @@ def g8(t: Tables):
     return g.layering_depth(g.flow_edges(t.bank))
 
 
-# every member of a component above 60 nodes is circular; on these tables the account graph is one such component
 view("acc_reach", "SELECT src, dst FROM acc_e UNION SELECT r.src, e.dst FROM acc_reach r JOIN acc_e e ON e.src = r.dst")
 view("mflow", """
   SELECT account_no, layering_depth, circular, cash_out_payouts, rapid_forward, mule_chain, CAST(least(100, CASE WHEN layering_depth >= 3 THEN 25 WHEN layering_depth = 2 THEN 10 ELSE 0 END

@@ -8,6 +8,7 @@ from catalog.base import Tables, entry, rounded, view
 from weftline.operators import features as ft
 from weftline.operators import graphs as g
 from weftline.operators import ml
+from weftline.operators import neighbours as nb
 from weftline.session import cut
 
 
@@ -41,12 +42,12 @@ def m6(t: Tables):
 
 @entry("m8_local_outlier_factor")
 def m8(t: Tables):
-    return ml.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "lof")
+    return nb.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "lof")
 
 
 @entry("m9_dbscan_noise")
 def m9(t: Tables):
-    return ml.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "dbscan")
+    return nb.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "dbscan")
 
 
 @entry("m10_core_distance", """
@@ -54,7 +55,7 @@ WITH d AS (SELECT a.account_no, """ + "sqrt(" + " + ".join(f"(a.{c} - b.{c}) **
   FROM amx_std a JOIN amx_std b ON a.account_no <> b.account_no)
 SELECT account_no, round(dist, 3) AS score FROM d QUALIFY row_number() OVER (PARTITION BY account_no ORDER BY dist) = 7""")
 def m10(t: Tables):
-    return rounded(ml.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "core", k=7), 3)
+    return rounded(nb.neighbour_scores(std(t), ft.ACCOUNT_FEATURES, "core", k=7), 3)
 
 
 @entry("m11_ensemble")

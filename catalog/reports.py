@@ -17,7 +17,7 @@ from weftline.plans import rules
 
 
 def loops(t: Tables):
-    return g.circular_flows(t.bank, 200000, 4)
+    return g.circular_flows(t.bank, 200000, 4, cap=None)
 
 
 view("loop_rows", """
@@ -26,18 +26,18 @@ view("loop_rows", """
     UNION ALL SELECT [a.src, a.dst, b.dst], a.amount + b.amount + c.amount FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.dst > a.src AND b.dst > a.src AND b.dst <> a.dst
     UNION ALL SELECT [a.src, a.dst, b.dst, c.dst], a.amount + b.amount + c.amount + d.amount FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN e d ON d.src = c.dst AND d.dst = a.src
       WHERE a.dst > a.src AND b.dst > a.src AND c.dst > a.src AND b.dst <> a.dst AND c.dst <> a.dst AND c.dst <> b.dst)
-  SELECT acc, flow FROM c ORDER BY flow DESC, acc LIMIT 50""")
-view("in_out_top", "SELECT * FROM in_out ORDER BY latency, in_txn LIMIT 100")
+  SELECT acc, flow FROM c""")
+view("in_out_all", "SELECT * FROM in_out")
 
 
 @entry("a17_typologies", """
-WITH x AS (SELECT (SELECT count(*) FROM f_bank WHERE amount >= 40000 AND amount < 50000) AS s, (SELECT count(*) FROM in_out_top) AS i, (SELECT count(*) FROM loop_rows) AS l,
+WITH x AS (SELECT (SELECT count(*) FROM f_bank WHERE amount >= 40000 AND amount < 50000) AS s, (SELECT count(*) FROM in_out_all) AS i, (SELECT count(*) FROM loop_rows) AS l,
   (SELECT count(*) FROM payouts) AS p, (SELECT count(*) FROM f_complaint) AS c, (SELECT count(*) FROM f_bank WHERE amount >= 1000000) AS h)
 SELECT unnest(['01','02','03','04','05','06']) AS code, unnest(['structuring','in_out','loops','payouts','complaints','high_value']) AS typology, unnest([s, i, l, p, c, h]) AS count,
   unnest([CASE WHEN s >= 3 THEN 'HIGH' ELSE 'LOW' END, CASE WHEN i > 0 THEN 'CRITICAL' ELSE 'SAFE' END, CASE WHEN l > 0 THEN 'CRITICAL' ELSE 'SAFE' END, CASE WHEN p > 0 THEN 'HIGH' ELSE 'SAFE' END,
     CASE WHEN c > 0 THEN 'CRITICAL' ELSE 'SAFE' END, CASE WHEN h > 0 THEN 'MEDIUM' ELSE 'SAFE' END]) AS severity FROM x""")
 def a17(t: Tables):
-    return rp.typologies(t.case, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
+    return rp.typologies(t.case, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank, limit=None))
 
 
 view("coin_hits", "SELECT t.txn_id, t.receiver_phone AS phone FROM f_bank t WHERE receiver_phone IN (SELECT a_number FROM f_cdr)")
@@ -84,28 +84,28 @@ def a31(t: Tables):
 
 
 @entry("a32_circular_rollup", """
-SELECT count(*) AS loop_count, sum(flow) AS total_flow, max(len(acc)) AS longest, round(avg(d.sec), 1) AS avg_cycle_sec, (SELECT count(*) FROM payouts) AS payout_count, (SELECT count(*) FROM in_out_top) AS in_out_count
+SELECT count(*) AS loop_count, sum(flow) AS total_flow, max(len(acc)) AS longest, round(avg(d.sec), 1) AS avg_cycle_sec, (SELECT count(*) FROM payouts) AS payout_count, (SELECT count(*) FROM in_out_all) AS in_out_count
 FROM loop_rows l JOIN LATERAL (SELECT max(ts) - min(ts) AS sec FROM f_bank b WHERE list_contains(l.acc, b.account_no) OR list_contains(l.acc, b.receiver_account)) d ON true""")
 def a32(t: Tables):
-    return rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
+    return rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank, limit=None))
 
 
 @entry("a32_laundering_indicators", """
 SELECT 'Circular layering' AS indicator, CASE WHEN (SELECT max(len(acc)) FROM loop_rows) >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity WHERE EXISTS (SELECT 1 FROM loop_rows)
 UNION ALL SELECT 'Rapid cash-out bursts', 'HIGH' WHERE EXISTS (SELECT 1 FROM payouts)
-UNION ALL SELECT 'Cash-through (rapid in and out)', 'CRITICAL' WHERE EXISTS (SELECT 1 FROM in_out_top) UNION ALL SELECT 'Structuring watch', 'LOW'""")
+UNION ALL SELECT 'Cash-through (rapid in and out)', 'CRITICAL' WHERE EXISTS (SELECT 1 FROM in_out_all) UNION ALL SELECT 'Structuring watch', 'LOW'""")
 def a32b(t: Tables):
-    return rp.laundering_indicators(rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank)))
+    return rp.laundering_indicators(rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank, limit=None)))
 
 
 @entry("a33_recommendations", """
-SELECT 'CRITICAL' AS priority, 'Cash-Through' AS category WHERE EXISTS (SELECT 1 FROM in_out_top)
+SELECT 'CRITICAL' AS priority, 'Cash-Through' AS category WHERE EXISTS (SELECT 1 FROM in_out_all)
 UNION ALL SELECT 'CRITICAL', 'Complaint' WHERE EXISTS (SELECT 1 FROM acc_heat WHERE contains(flags, 'COMPLAINED_ACCOUNT'))
 UNION ALL SELECT 'HIGH', 'Money-Flow Loop' WHERE EXISTS (SELECT 1 FROM loop_rows) UNION ALL SELECT 'HIGH', 'Rapid Cash-Out' WHERE EXISTS (SELECT 1 FROM payouts)
 UNION ALL SELECT 'HIGH', 'Rule Engine' WHERE EXISTS (SELECT 1 FROM acc_heat WHERE score >= 75)
 UNION ALL SELECT 'MEDIUM', 'Telecom Correlation' WHERE EXISTS (SELECT 1 FROM fused WHERE call_count > 0 OR ipdr_count > 0)""")
 def a33(t: Tables):
-    roll = rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank))
+    roll = rp.circular_rollup(t.bank, loops(t), ft.rapid_payouts(t.bank), links.rapid_in_out(t.bank, limit=None))
     return rp.recommendations(roll, rules.account_heat(t.case), rp.fusion_rollup(t.case, links.fused_rows(t.case), links.coincidences(t.case).select("phone"))).drop("action")
 
 
@@ -213,7 +213,7 @@ def c7(t: Tables):
 
 @entry("c9_graph_insights", """SELECT seed, count(*) AS edges, sum(amount) AS total FROM traced GROUP BY 1""")
 def c9(t: Tables):
-    return ev.graph_insights(g.trace(seeds(t), layered(t), 2)[1]).select("seed", "edges", "total")
+    return ev.graph_insights(g.trace(seeds(t), layered(t))[1]).select("seed", "edges", "total")
 
 
 @entry("c10_result_intelligence", """

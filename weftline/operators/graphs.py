@@ -132,6 +132,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = work.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("m", "node").alias("component"))
 
@@ -278,22 +280,18 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rest = left.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(
             seen.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = peel(rest, 20)
+    else:
+        raise RuntimeError(f"strong components left over after {max_rounds} rounds")
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
     sizes = found.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
     return found.join(sizes, "c").select("node", F.col("c").alias("scc"), F.col("k").alias("scc_size"))
 
 
-def circular_accounts(flow: DataFrame, max_len: int = 6, small: int = 60) -> DataFrame:
-    """Accounts on a ring: members of large strong components, and of cycles up to ``max_len`` in small ones."""
-    inner = flow.where(~F.col("dst").startswith(CTP)).select("src", "dst", "amount")
-    scc = cut(strong_components(inner))
-    large = scc.where(F.col("scc_size") > small).select(F.col("node").alias("account_no"))
-    s = scc.where(F.col("scc_size") <= small)
-    within = (inner.join(s.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
-              .join(s.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst").where("a = b and src <> dst"))
-    rings = enumerate_cycles(within.select("src", "dst", "amount"), max_len).select(F.explode("accounts").alias("account_no"))
-    return large.unionByName(rings).distinct()
+def circular_accounts(flow: DataFrame) -> DataFrame:
+    """Accounts on a ring of any length: the members of strong components of two accounts or more."""
+    inner = flow.where(~F.col("dst").startswith(CTP)).select("src", "dst")
+    return strong_components(inner).select(F.col("node").alias("account_no")).distinct()
 
 
 def layering_depth(flow: DataFrame, cutoff: int = 3) -> DataFrame:
@@ -385,13 +383,13 @@ def sampled_nodes(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("node").orderBy(F.md5("node"), "node").limit(k)
 
 
-def betweenness(edges: DataFrame, exact_below: int = 50, samples: int | None = None) -> DataFrame:
-    """(node, betweenness), normalised; exact on small graphs, else from sampled sources."""
+def betweenness(edges: DataFrame, samples: int = 30) -> DataFrame:
+    """(node, betweenness), normalised, estimated from shortest paths out of ``samples`` nodes (of all, if there are fewer)."""
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.count()
-    k = n if n <= exact_below else min(n, samples or min(30, max(8, n // 50)))
-    paths, depth = shortest_paths(e, nodes if k == n else sampled_nodes(nodes, k))
+    k = min(n, samples)
+    paths, depth = shortest_paths(e, sampled_nodes(nodes, k))
     delta = None
     acc = None
     for d in range(depth, 0, -1):
@@ -484,21 +482,32 @@ def bridges(edges: DataFrame) -> DataFrame:
     return total.where("parent is not null and x = 0").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
 
 
-def average_path_length(edges: DataFrame, max_nodes: int = 500) -> DataFrame:
-    """Mean distance over all pairs of the largest component; NULL when it has more than ``max_nodes`` nodes."""
+def average_path_length(edges: DataFrame, precision: int = 12, max_hops: int = 10_000) -> DataFrame:
+    """Mean distance over all pairs of the largest component, from its neighbourhood function.
+
+    Each node carries a sketch of the nodes within h hops; a round unites it with its neighbours' sketches, until none grows.
+    ``precision`` is the sketches' log size: counts are exact while small and within about 1.04 / sqrt(2 ** precision) after.
+    """
     comp = cut(components(edges))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-    best = sizes.orderBy(F.desc("k"), "component").limit(1)
-    size = best.first()
-    if size is None or not 1 < size["k"] <= max_nodes:
-        return edges.sparkSession.range(1).select(F.lit(None).cast("double").alias("avg_path_length"))
+    best = sizes.where("k > 1").orderBy(F.desc("k"), "component").limit(1)
     members = comp.join(best, "component", "left_semi").select("node")
-    inside = undirected(edges).join(members.withColumnRenamed("node", "src"), "src", "left_semi")
-    paths, _ = shortest_paths(inside, members)
-    return paths.where("dist > 0").agg(F.round(F.avg("dist"), 3).alias("avg_path_length"))
-
+    inside = cut(undirected(edges).join(members.withColumnRenamed("node", "src"), "src", "left_semi"))
+    reach = cut(members.groupBy("node").agg(F.hll_sketch_agg("node", F.lit(precision)).alias("s")))
+    pairs = lambda df: df.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0] or 0
+    counts = [pairs(reach)]
+    for _ in range(max_hops):
+        near = inside.join(reach.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "s").unionByName(reach)
+        reach = cut(near.groupBy("node").agg(F.hll_union_agg("s").alias("s")))
+        counts.append(pairs(reach))
+        if counts[-1] <= counts[-2]:
+            break
+    else:
+        raise RuntimeError(f"the largest component is wider than {max_hops} hops")
+    total = sum(h * (b - a) for h, (a, b) in enumerate(zip(counts, counts[1:]), 1))
+    mean = total / (counts[-1] - counts[0]) if counts[-1] > counts[0] else None
+    return edges.sparkSession.range(1).select(F.round(F.lit(mean).cast("double"), 3).alias("avg_path_length"))
 
-# ---------------------------------------------------------------- embedding
 
 def random_walks(edges: DataFrame, per_node: int = 2, length: int = 8, seed: int = 42) -> DataFrame:
     """(walk, step, node): neighbours are numbered and each step picks one by a hash of (walk, step)."""

@@ -1,6 +1,6 @@
 """Anomaly detectors over standardised account matrices.
 
-Models are fitted on bounded samples (a fixed number of rows chosen by md5 order, so runs repeat) or on
+Forests draw each tree's rows from the whole table by hash, so runs repeat; the other models are fitted on
 one-pass sums; every row of the table is scored, in Arrow batches or plain expressions.
 """
 
@@ -19,19 +19,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.features import OUTLIER_FEATURES, max_abs, rank_normalised, standardised
+from weftline.operators.neighbours import neighbour_scores
 from weftline.operators.ordering import linear_quantiles, with_scalars
 from weftline.session import cut, ship_package
 
-POOL = 4096        # rows a forest may draw its samples from
-REFERENCE = 2048   # rows neighbours are searched among
 
+# ---------------------------------------------------------------- isolation forest
 
-def bounded_sample(x: DataFrame, cols: Sequence[str], key: str, size: int) -> pd.DataFrame:
-    """At most ``size`` rows, the same on every run."""
-    return x.select(key, *cols).orderBy(F.md5(key), key).limit(size).toPandas()
+def tree_samples(x: DataFrame, cols: Sequence[str], key: str, trees: int, size: int, seed: int) -> pd.DataFrame:
+    """For each tree its own ``size`` rows of the whole table: those with the smallest hash of key and tree.
 
+    Hashes above twice the share that is wanted are left out first, in the scan, so what is ranked does not grow with the
+    table; a share that large misses no row of the ``size`` smallest but by an accident of many standard deviations, and then
+    the tree has a few rows less.
+    """
+    n = x.count()
+    share = min(1.0, 2.0 * size / max(n, 1))
+    unit = lambda t: (F.shiftrightunsigned(F.xxhash64(F.col(key), t, F.lit(seed)), 11)) / float(1 << 53)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), unit(t).alias("h"))), lambda d: d["h"] < share)
+    rows = x.select(key, *cols, F.explode(drawn).alias("d")).select("d.tree", "d.h", key, *cols)
+    near = rows.withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy("h", key))).where(F.col("r") <= size)
+    return near.select("tree", key, *cols).orderBy("tree", key).toPandas()
 
-# ---------------------------------------------------------------- isolation forest
 
 def _grow(data: np.ndarray, limit: int, rng: np.random.Generator) -> np.ndarray:
     """One tree as rows (feature, threshold, left, right, path length to add at a leaf)."""
@@ -79,11 +88,10 @@ def isolation_scores(x: DataFrame, cols: Sequence[str], key: str = "account_no",
                      seed: int = 42, out: str = "isolation") -> DataFrame:
     """Anomaly score in (0, 1); short average paths score high."""
     ship_package(x.sparkSession)
-    pool = bounded_sample(x, cols, key, POOL)[list(cols)].to_numpy(float)
+    drawn = tree_samples(x, cols, key, trees, sample, seed)
     rng = np.random.default_rng(seed)
-    size = min(sample, len(pool))
-    forest = [_grow(pool[rng.choice(len(pool), size, replace=False)], int(np.ceil(np.log2(max(size, 2)))), rng)
-              for _ in range(trees)] if size else []
+    size = int(drawn["tree"].value_counts().max()) if len(drawn) else 0
+    forest = [_grow(rows[list(cols)].to_numpy(float), int(np.ceil(np.log2(max(size, 2)))), rng) for _, rows in drawn.groupby("tree", sort=True)]
     shared = x.sparkSession.sparkContext.broadcast(forest)
     norm = _average_path(size) or 1.0
 
@@ -151,63 +159,6 @@ def reconstruction_errors(x: DataFrame, cols: Sequence[str], key: str = "account
     return x.select(key, residual(F.struct(*cols)).alias(out))
 
 
-# ---------------------------------------------------------------- neighbours
-
-def neighbour_scores(x: DataFrame, cols: Sequence[str], kind: str, key: str = "account_no", k: int = 20,
-                     eps: float = 1.5, min_samples: int = 5, out: str = "score") -> DataFrame:
-    """Neighbour-based scores of every row against a reference set of at most ``REFERENCE`` rows.
-
-    Up to that many rows the reference is the whole table and the result is exact; beyond it each row is
-    compared with the reference only, never with all others. ``kind`` is one of ``lof`` (local outlier
-    factor), ``dbscan`` (noise, scored by nearness to a core row), ``core`` (distance of the k-th
-    neighbour) and ``knn`` (mean distance of the k nearest).
-    """
-    ship_package(x.sparkSession)
-    ref = bounded_sample(x, cols, key, REFERENCE)
-    keys, r = ref[key].to_numpy(object), ref[list(cols)].to_numpy(float)
-    k = max(1, min(k, len(r) - 1))
-    own = _distances(r, r)
-    np.fill_diagonal(own, np.inf)
-    near = np.sort(own, axis=1)[:, :k] if len(r) > 1 else np.zeros((len(r), 1))
-    idx = np.argsort(own, axis=1)[:, :k]
-    kdist = near[:, -1]
-    reach = np.maximum(kdist[idx], near)
-    lrd = 1.0 / (reach.mean(axis=1) + 1e-10)
-    core = (own <= eps).sum(axis=1) + 1 >= min_samples
-    shared = x.sparkSession.sparkContext.broadcast({"pos": {v: i for i, v in enumerate(keys)}, "r": r, "kdist": kdist, "lrd": lrd, "core": core})
-
-    @F.pandas_udf("double")
-    def score(ids: pd.Series, values: pd.DataFrame) -> pd.Series:
-        s = shared.value
-        m = values.to_numpy(float)
-        d = _distances(m, s["r"])
-        for row, v in enumerate(ids):
-            at = s["pos"].get(v)
-            if at is not None:
-                d[row, at] = np.inf
-        order = np.argsort(d, axis=1)[:, :k]
-        dist = np.take_along_axis(d, order, axis=1)
-        if kind == "knn":
-            return pd.Series(dist.mean(axis=1))
-        if kind == "core":
-            return pd.Series(dist[:, -1])
-        if kind == "dbscan":
-            to_core = np.where(s["core"][None, :], d, np.inf).min(axis=1)
-            is_core = (d <= eps).sum(axis=1) + 1 >= min_samples
-            noise = ~is_core & (to_core > eps)
-            raw = np.where(np.isfinite(to_core), np.maximum(0.0, 3.0 - to_core), 3.0)
-            return pd.Series(np.where(noise, raw, 0.0))
-        density = 1.0 / (np.maximum(s["kdist"][order], dist).mean(axis=1) + 1e-10)
-        return pd.Series(s["lrd"][order].mean(axis=1) / density)
-
-    return x.select(key, score(F.col(key), F.struct(*cols)).alias(out))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
-
-
 # ---------------------------------------------------------------- ensembles
 
 DETECTORS = ("isolation", "boundary", "pca", "zscore")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -31,16 +32,11 @@ ENV_PREFIX = "APP_HYBRID_"
 
 def weights(overrides: Mapping[str, float] | None = None, environ: Mapping[str, str] | None = None) -> dict[str, float]:
     """Defaults, then environment (``APP_HYBRID_TXN_RULES=0.4``), then explicit overrides; never negative."""
-    out = dict(WEIGHTS)
-    for key, value in (environ if environ is not None else os.environ).items():
-        name = key[len(ENV_PREFIX):].lower()
-        if key.startswith(ENV_PREFIX) and name in out:
-            try:
-                out[name] = max(0.0, float(value))
-            except ValueError:
-                continue
-    out.update({k: max(0.0, float(v)) for k, v in (overrides or {}).items() if k in out})
-    return out
+    env = os.environ if environ is None else environ
+    given = {k: env.get(ENV_PREFIX + k.upper(), "") for k in WEIGHTS}
+    numbers = {k: float(v) for k, v in given.items() if re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", v)}
+    chosen = WEIGHTS | numbers | {k: float(v) for k, v in (overrides or {}).items() if k in WEIGHTS}
+    return {k: max(0.0, v) for k, v in chosen.items()}
 
 
 def weighted(parts: Mapping[str, Column], w: Mapping[str, float]) -> Column:

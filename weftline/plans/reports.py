@@ -128,8 +128,8 @@ def report_tables(case: Case, only: Sequence[str] | None = None) -> dict[str, Da
     from weftline.plans import rules
 
     heat, phones = cache(lambda: rules.account_heat(case)), cache(lambda: rules.phone_heat(case.cdr))
-    loops, payouts = cache(lambda: g.circular_flows(case.bank)), cache(lambda: ft.rapid_payouts(case.bank))
-    in_out, hits = cache(lambda: links.rapid_in_out(case.bank)), cache(lambda: links.coincidences(case))
+    loops, payouts = cache(lambda: g.circular_flows(case.bank, cap=None)), cache(lambda: ft.rapid_payouts(case.bank))
+    in_out, hits = cache(lambda: links.rapid_in_out(case.bank, limit=None)), cache(lambda: links.coincidences(case))
     roll = cache(lambda: circular_rollup(case.bank, loops(), payouts(), in_out()))
     fusion = cache(lambda: fusion_rollup(case, links.fused_rows(case), hits()))
     outliers = cache(lambda: cut(ft.outlier_matrix(case.bank, payouts())))
@@ -141,8 +141,8 @@ def report_tables(case: Case, only: Sequence[str] | None = None) -> dict[str, Da
         "shared_ips": lambda: ag.shared_by(case.ipdr, "source_ip", "msisdn", shown=10), "bank_matrix": lambda: ag.bank_matrix(case.bank),
         "circles": lambda: ag.circle_activity(case), "account_risk": lambda: heat().orderBy(F.desc("score"), "account_no").limit(30),
         "phone_risk": lambda: phones().orderBy(F.desc("score"), "phone").limit(20), "hubs": lambda: g.hubs(g.money_edges(case.bank)),
-        "busy_slots": lambda: ag.busy_slots(case.bank), "kind_hours": lambda: ag.kind_hours(links.timeline(case)), "rapid_in_out": in_out, "payouts": payouts,
-        "loops": loops, "circular": roll, "indicators": lambda: laundering_indicators(roll()), "fusion": fusion, "missing_links": lambda: links.missing_links(case),
+        "busy_slots": lambda: ag.busy_slots(case.bank), "kind_hours": lambda: ag.kind_hours(links.timeline(case)), "rapid_in_out": lambda: in_out().orderBy("latency", "in_txn").limit(100), "payouts": payouts,
+        "loops": lambda: loops().orderBy(F.desc("total_flow"), "accounts").limit(50), "circular": roll, "indicators": lambda: laundering_indicators(roll()), "fusion": fusion, "missing_links": lambda: links.missing_links(case),
         "statistics": lambda: ag.amount_statistics(case.bank), "parties": lambda: ag.top_parties(case.bank), "benford": lambda: ag.benford(case.bank),
         "typologies": lambda: typologies(case, loops(), payouts(), in_out()), "importance": lambda: ml.feature_importance(outliers()),
         "deviations": lambda: ml.deviating_features(outliers()), "recommendations": lambda: recommendations(roll(), heat(), fusion()),

@@ -136,7 +136,7 @@ def ipdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where((F.col("c_custkey") < 150) & (F.col("c_acctbal") < 0))
+    c = read(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
     n = read(spark, sf_dir, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
         F.concat(F.lit("cmp_"), F.col("c_custkey").cast("string")).alias("complaint_id"),
@@ -149,7 +149,7 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where(F.col("c_custkey") < 150)
+    c = read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     return c.select(
         F.concat(F.lit("sub_"), key.cast("string")).alias("sub_id"),
