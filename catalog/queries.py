@@ -106,6 +106,15 @@ def q13(t: Tables):
     return q.account_like(legs(t), "0000012").select("txn_id", "timestamp")
 
 
+@entry("q14_traced_payments", """
+SELECT r.seed, nodes, farthest_hop, txn_id, timestamp, amount, sender_account, receiver_account, mode
+FROM (SELECT seed, count(*) AS nodes, max(hop) AS farthest_hop FROM hops GROUP BY 1) r LEFT JOIN legs l ON l.sender_account = r.seed OR l.receiver_account = r.seed""")
+def q14(t: Tables):
+    from catalog.graphs import layered, seeds
+    from weftline.operators.graphs import trace
+    return q.traced_payments(legs(t), trace(seeds(t), layered(t))[0])
+
+
 @entry("q15_amount_and_mode", "SELECT txn_id, amount FROM legs WHERE amount >= 100000 AND upper(mode) = 'UPI'")
 def q15(t: Tables):
     return q.by_amount_and_mode(legs(t), 100000, "upi").select("txn_id", "amount")
