@@ -75,7 +75,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return rows.join(starts, "row").select("doc_id", "n", "curve", "ids", "wide", "at").mapInPandas(
+    return rows.join(starts.hint("merge"), "row").select("doc_id", "n", "curve", "ids", "wide", "at").mapInPandas(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long, ids binary")
 
 

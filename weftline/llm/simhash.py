@@ -145,10 +145,12 @@ def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows, member = grouped(docs, threshold)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = rows.groupBy("fingerprint").agg(F.min(order).alias("f"))
-    first = member.join(best, "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    first = member.join(best, "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select("f.*")
+    names = ["_no_id", "_id", "_own"]
+    key = lambda ident, own: [ident.isNull().alias(names[0]), F.coalesce(ident, F.lit(0).cast("long")).alias(names[1]), own.alias(names[2])]
+    # plain keys, so that join and dropDuplicates share one shuffle of the texts; as at any size, neither side is broadcast
+    kept = docs.select("*", *key(F.col("doc_id"), F.xxhash64("text"))).join(first.select(*key(F.col("doc_id"), F.col("text_hash"))).hint("merge"), names, "left_semi")
+    return kept.dropDuplicates(names).drop(*names)
 
 
 def duplicate_report(docs: DataFrame) -> DataFrame:
