@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -15,18 +16,20 @@ from weftline.llm.common import python_ready, whole_text
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Longest part that is merged without a heap, and the stride of places in edge keys, larger than any length looked up there.
+SHORT, WIDE = 64, 128
 _MODELS: dict[str, "Pieces"] = {}
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """Suffix array by doubling: ranks of prefixes of length 1, 2, 4, ... until all differ or 16, the longest piece, is reached."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order, length = np.argsort(rank, kind="stable"), 1
+    order, length = np.argsort(rank), 1
     while length < 16 and rank.max(initial=0) < len(rank) - 1:
         next_rank = np.zeros(len(rank), np.int64)
         next_rank[:-length or None] = rank[length:] + 1
         key = rank * (len(rank) + 2) + next_rank
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         length *= 2
@@ -49,12 +52,13 @@ class Pieces:
         self.score = score
         self.longest = max(map(len, self.id))
         self.cut = not any(SPACE in p[1:] and p.strip(SPACE) for p in self.id)  # no piece holds a space after a letter
-        self.back = {i: b for b, i in self.byte.items()}
+        back = {i: b for b, i in self.byte.items()}
+        self.raw = [bytes([back[i]]) if i in back else p.encode() for i, p in enumerate(self.text)]
         self.pairs = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
         self.sorted = sorted((p for p in self.id if len(p) > 1), key=lambda p: [ord(c) for c in p])
 
-    def edges(self, words: list[str]) -> list[dict[tuple[int, int], int]]:
-        """For each word its edges ``(start, end) -> piece id``: all occurrences of all pieces of two characters or more.
+    def edges(self, words: list[str]) -> tuple[dict[int, float], list[int]]:
+        """All occurrences of all pieces of two characters or more, as ``place * WIDE + length -> score``, and where each word starts.
 
         The words are laid end to end, a character that no piece holds between them; each piece's occurrences are one range
         of the suffix array, found by binary search for all pieces at once, character by character.
@@ -90,41 +94,53 @@ class Pieces:
         count = last - first
         piece = np.repeat(np.arange(len(pieces)), count)
         place = order[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        by_place = np.lexsort((length[piece], place))  # edges sorted by position
-        piece, place = piece[by_place], place[by_place]
-        word = np.searchsorted(ends, place, "right")
-        start = place - np.concatenate([[0], ends])[word]
-        ids = np.array([self.id[p] for p in pieces], np.int64)
-        out: list[dict[tuple[int, int], int]] = [{} for _ in words]
-        for w, s, e, i in zip(word.tolist(), start.tolist(), (start + length[piece]).tolist(), ids[piece].tolist()):
-            out[w][s, e] = i
-        return out
+        by_place = np.argsort(place * WIDE + length[piece])  # edges sorted by position
+        key = (place * WIDE + length[piece])[by_place]
+        score = np.array([self.score[self.id[p]] for p in pieces])[piece[by_place]]
+        return dict(zip(key.tolist(), score.tolist())), [0, *ends[:-1].tolist()]
 
-    def relax(self, word: str, edges: dict[tuple[int, int], int]) -> list[int]:
+    def relax(self, word: str, edges: dict[int, float], at: int) -> list[int]:
         """Take edges that join two neighbouring parts, the best score first (then the leftmost), until none is left."""
-        n = len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive, score = [True] * n, self.score
-        heap = [(-score[i], s, s + 1, e) for (s, e), i in edges.items() if e == s + 2]
+        n, get, none = len(word), edges.get, float("-inf")
+        if n <= SHORT:
+            cuts, base = list(range(n + 1)), at * WIDE
+            value = [get(i, none) for i in range(base + 2, base + 2 + (n - 1) * WIDE, WIDE)]
+            while value and (best := max(value)) > none:
+                i = value.index(best)
+                del cuts[i + 1], value[i]
+                if i < len(value):
+                    value[i] = get(base + cuts[i] * WIDE + cuts[i + 2] - cuts[i], none)
+                if i:
+                    value[i - 1] = get(base + cuts[i - 1] * WIDE + cuts[i + 1] - cuts[i - 1], none)
+        else:
+            cuts = self.merged(n, lambda a, b: get((at + a) * WIDE + b - a, none) if b - a <= self.longest else none)
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            i = self.id.get(word[a:b])
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.byte[x] for x in word[a:b].encode("utf-8", "surrogatepass")]
+        return out
+
+    @staticmethod
+    def merged(n: int, join) -> list[int]:
+        """The cuts left of a long word, by the same rule with a heap."""
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap = [(-v, i, i + 1, i + 2) for i in range(n - 1) if (v := join(i, i + 2)) > float("-inf")]
         heapify(heap)
         while heap:
             _, a, b, e = heappop(heap)
             if not alive[a] or b >= n or not alive[b] or after[a] != b or after[b] != e:
                 continue
-            alive[b] = False
-            after[a] = e
+            alive[b], after[a] = False, e
             if e < n:
                 before[e] = a
-                if (i := edges.get((a, after[e]))) is not None:
-                    heappush(heap, (-score[i], a, e, after[e]))
-            if (p := before[a]) >= 0 and (i := edges.get((p, e))) is not None:
-                heappush(heap, (-score[i], p, a, e))
-        out, at = [], 0
-        while at < n:
-            i = self.id.get(word[at]) if after[at] == at + 1 else edges[at, after[at]]
-            out += [i] if i is not None else [self.byte[b] for b in word[at].encode("utf-8", "surrogatepass")]
-            at = after[at]
-        return out
+                if (v := join(a, after[e])) > float("-inf"):
+                    heappush(heap, (-v, a, e, after[e]))
+            if (p := before[a]) >= 0 and (v := join(p, e)) > float("-inf"):
+                heappush(heap, (-v, p, a, e))
+        return [i for i in range(n) if alive[i]] + [n]
 
     def words(self, text: str) -> list[str]:
         """Parts that no piece crosses: each run of spaces with the word after it; without that property, the whole text."""
@@ -144,13 +160,11 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the space put before the first word taken off."""
-        out = bytearray()
-        back = self.back
-        if back.keys().isdisjoint(ids):
-            return "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")[1:]
-        for i in ids:
-            out += bytes([back[i]]) if i in back else self.text[i].encode()
-        return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Cached:
@@ -166,7 +180,7 @@ class Cached:
         for cache in (self.known, self.inner):
             if len(cache) > self.entries:
                 cache.clear()
-        cut = {w: self.model.parts(w) for words in split for w in words if w not in self.known}
+        cut = {w: self.model.parts(w) for w in set().union(*split).difference(self.known)}
         new, size = [], 0
         for part in {p for parts in cut.values() for p in parts}.difference(self.inner):
             new.append(part)
@@ -181,8 +195,9 @@ class Cached:
 
     def match(self, parts: list[str]) -> None:
         if parts:
-            for p, edges in zip(parts, self.model.edges(parts)):
-                self.inner[p] = np.array(self.model.relax(p, edges), "<u4").tobytes()
+            edges, starts = self.model.edges(parts)
+            for p, at in zip(parts, starts):
+                self.inner[p] = pack(self.model.relax(p, edges, at))
 
 
 def piece_ids(docs: DataFrame, model: str) -> DataFrame:
