@@ -13,23 +13,25 @@ from weftline.llm.common import python_ready, whole_text
 from weftline.llm.tokens import Lengths, loaded
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, texts: int = 2048, entries: int = 50_000) -> dict[str, int]:
-    """The broadcast tier: lengths of the pre-tokens most frequent in at most ``texts`` texts, at most ``entries`` of them.
+def frequent_lengths(docs: DataFrame, tokenizer: str, texts: int = 512, entries: int = 50_000) -> dict[str, int]:
+    """The broadcast tier: lengths of at most ``entries`` pre-tokens that are frequent in the first partitions.
 
-    It only saves time: what it lacks is encoded where it is met. One row for each kept pre-token reaches the driver.
+    It only saves time: what it lacks is encoded where it is met. Each partition counts its first ``texts`` texts and names
+    its commonest pre-tokens; partitions are read, few at first, until there are enough names. Nothing is shuffled.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, seen = loaded(Lengths, tokenizer), Counter()
+        tool, seen, left = loaded(Lengths, tokenizer), Counter(), texts
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch["text"].iloc[:left]:
                 if tool.plain(text):
                     seen.update(p for p in tool.split(text) if len(p) <= 32)
-        top = [p for p, n in seen.most_common(entries) if n > 1]
+            left = max(0, left - len(batch))
+        top = [p for p, n in seen.most_common(entries // 4) if n > 1]
         tool.learn(set(top))
-        yield pd.DataFrame({"piece": top, "n": [seen[p] for p in top], "tokens": [tool.known[p] for p in top]})
+        yield pd.DataFrame({"piece": pd.Series(top, dtype=object), "tokens": pd.Series([tool.known[p] for p in top], dtype="int32")})
 
-    rows = docs.select(whole_text().alias("text")).limit(texts).mapInPandas(count, "piece string, n long, tokens int").orderBy(F.desc("n")).limit(entries).collect()
+    rows = docs.select(whole_text().alias("text")).mapInPandas(count, "piece string, tokens int").limit(entries).collect()
     return {r["piece"]: r["tokens"] for r in rows}
 
 
