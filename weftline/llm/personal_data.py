@@ -21,7 +21,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What a text must contain for a pattern to be tried.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}", "phone": r"\+[0-9]"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: A run that could be an identifier: six characters or more, three of them digits (tested after the match).
 CANDIDATE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{6,}+"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
