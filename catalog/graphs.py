@@ -165,6 +165,11 @@ def g6(t: Tables):
     return g.circular_flows(t.bank, 200000, 4).withColumn("accounts", F.array_join("accounts", " > "))
 
 
+@entry("g6_circular_flows_every_loop")
+def g6b(t: Tables):
+    return g.circular_flows(t.bank).withColumn("accounts", F.array_join("accounts", " > "))
+
+
 view("acc_e", "SELECT DISTINCT src, dst FROM flow_e WHERE NOT starts_with(dst, 'CTP:') AND src <> dst")
 view("big_e", "SELECT DISTINCT account_no AS src, receiver_account AS dst FROM f_bank WHERE debit > 0 AND account_no <> receiver_account")
 view("big_reach", "SELECT src, dst FROM big_e UNION SELECT r.src, e.dst FROM big_reach r JOIN big_e e ON e.src = r.dst")
