@@ -24,8 +24,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: A run that could be an identifier: six characters or more, three of them digits (tested after the match).
 CANDIDATE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{6,}+"
-SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
-CONTEXT = 64
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Stands for an earlier span in the words before a later one.
+MARK = "<id>"
 #: Rounds of scoring, least support of a pattern (distinct values), weight of doubt, and the score from which a pattern discovers.
 ROUNDS, SUPPORT, DOUBT, TRUST = 3, 3, 1.0, 0.8
 
@@ -53,12 +54,12 @@ def valid(kind: str, value: Column) -> Column:
 def spans(kind: int, pattern: str, hint: str, test) -> Column:
     """All matches of a pattern in ``text``: the texts between matches give their places."""
     gaps, found = f"split(text, r'{pattern}', -1)", f"regexp_extract_all(text, r'{pattern}', 0)"
-    ends = (f"aggregate({{found}}, named_struct('at', 0, 'out', cast(array() AS array<struct<at:int,value:string,before:string>>)), "
+    ends = (f"aggregate({{found}}, named_struct('at', 0, 'out', cast(array() AS array<struct<at:int,value:string>>)), "
             f"(a, v) -> named_struct('at', a.at + length(get({{gaps}}, size(a.out))) + length(v), 'out', concat(a.out, array(named_struct("
-            f"'at', a.at + length(get({{gaps}}, size(a.out))), 'value', v, 'before', right(get({{gaps}}, size(a.out)), {CONTEXT}))))), a -> a.out)")
+            f"'at', a.at + length(get({{gaps}}, size(a.out))), 'value', v)))), a -> a.out)")
     both = f"transform(array(named_struct('g', {gaps}, 'f', {found})), b -> {ends.format(found='b.f', gaps='b.g')})[0]"
     rows = F.filter(F.expr(both), lambda s: test(s["value"]))
-    made = F.transform(rows, lambda s: F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), (s["at"] + F.length(s["value"])).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+    made = F.transform(rows, lambda s: F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), (s["at"] + F.length(s["value"])).alias("end"), s["value"].alias("value")))
     there = F.col("text").contains(hint) if hint == "@" else F.col("text").rlike(hint)
     return F.when(there, made).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
@@ -68,6 +69,22 @@ def base_spans() -> Column:
     return F.array_sort(F.concat(*[spans(k, PATTERNS[n], HINTS[n], lambda v, n=n: valid(n, v)) for k, n in enumerate(KINDS)]))
 
 
+def with_words(entries: str) -> Column:
+    """The sorted spans in column ``entries``, each with ``before``: the last two words of the whole text before it.
+
+    Earlier spans, overlapping ones as a group, stand there as ``MARK``, a word of its own; runs that are no spans stay. Only two
+    words are carried from span to span, so a gap is read once, however many spans follow. ``base`` begins the latest group of
+    overlapping spans, ``at`` ends it and ``pre`` has the words before it.
+    """
+    last = lambda x: f"reverse(regexp_extract(reverse({x}), r'^\\s*+(?:\\S++(?:\\s++\\S*+)?+)?+', 0))"
+    lead = (f"CASE WHEN s.start < a.at THEN concat(a.pre, substring(text, a.base + 1, s.start - a.base)) "
+            f"ELSE concat(a.pre, IF(a.at > 0, ' {MARK} ', ''), substring(text, a.at + 1, s.start - a.at)) END")
+    step = (f"transform(array({last(lead)}), w -> named_struct('at', greatest(a.at, s.end), 'base', IF(s.start < a.at, a.base, s.start), 'pre', IF(s.start < a.at, a.pre, w), "
+            f"'out', concat(a.out, array(named_struct('start', s.start, 'kind', s.kind, 'end', s.end, 'value', s.value, 'before', w)))))[0]")
+    none = "cast(array() AS array<struct<start:int,kind:int,end:int,value:string,before:string>>)"
+    return F.expr(f"aggregate({entries}, named_struct('at', 0, 'base', 0, 'pre', '', 'out', {none}), (a, s) -> {step}, a -> a.out)")
+
+
 def contexts(before: Column) -> Column:
     """Lexical pattern of the text before a span: its last two words in lower case, digits as 0; null if there are fewer."""
     words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"\s+"), lambda w: w != "")
@@ -79,9 +96,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", whole_text().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), base_spans().alias("base"))
     loose = spans(len(KINDS), CANDIDATE, "[0-9]", lambda v: F.length(digits(v)) >= 3)
     apart = F.filter(loose, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.select("doc_id", "text_hash", "base", apart.alias("others"))
-    keep = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("value"), contexts(s["before"]).alias("pattern")))
-    return df.select("doc_id", "text_hash", keep("base").alias("base"), keep("others").alias("others"))
+    df = df.select("doc_id", "text_hash", "text", F.array_sort(F.concat("base", apart)).alias("every")).select("doc_id", "text_hash", with_words("every").alias("every"))
+    keep = lambda test: F.transform(F.filter("every", lambda s: test(s["kind"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("value"), contexts(s["before"]).alias("pattern")))
+    return df.select("doc_id", "text_hash", keep(lambda k: k < len(KINDS)).alias("base"), keep(lambda k: k == len(KINDS)).alias("others"))
 
 
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
