@@ -221,7 +221,7 @@ def g10(t: Tables):
 
 @entry("g10_pagerank_calls")
 def g10b(t: Tables):
-    return rounded(g.pagerank(g.call_edges(t.cdr.where("duration_sec >= 10"))), 8)
+    return rounded(g.pagerank(g.call_edges(t.cdr)), 8)
 
 
 @entry("g11_betweenness")

@@ -56,11 +56,19 @@ UNION ALL SELECT 'session_hours', count(DISTINCT (start_ts % 86400) // 3600) FRO
 UNION ALL SELECT 'amounts', 8 UNION ALL SELECT 'activity', count(DISTINCT (ts % 86400) // 3600) + count(DISTINCT (ts // 86400) % 7) + count(DISTINCT ((ts // 86400) % 7) * 24 + (ts % 86400) // 3600) FROM f_bank""")
 def c8(t: Tables):
     """Rows of the light report sections (each section also has its own check)."""
-    names = ("activity", "amounts", "modes", "session_hours", "bank_matrix", "circles", "parties", "benford")
-    tables = rp.report_tables(t.case, names)
+    return section_sizes(rp.report_tables(t.case, ("activity", "amounts", "modes", "session_hours", "bank_matrix", "circles", "parties", "benford")))
+
+
+@entry("c8_report_section_sizes_all")
+def c8b(t: Tables):
+    """Rows of every report section."""
+    return section_sizes(rp.report_tables(t.case))
+
+
+def section_sizes(tables):
     out = None
-    for name in names:
-        one = tables[name].agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("section"), "records")
+    for name, table in tables.items():
+        one = table.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("section"), "records")
         out = one if out is None else out.unionByName(one)
     return out
 

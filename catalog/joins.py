@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, entry, rounded, view
+from catalog.composites import scored
 from weftline.operators import links
 from weftline.operators.views import bank_legs
+from weftline.plans import composite as cp
+from weftline.session import cut
 
 JOIN = ","
 
@@ -210,6 +213,13 @@ def j10(t: Tables):
     return links.relationship_links(top).select("source", "target", F.array_join("kinds", JOIN).alias("kinds"), "strength")
 
 
+@entry("j10_relationship_links_alert_feed")
+def j10b(t: Tables):
+    """The selection is the whole alert feed, which grows with the table."""
+    feed = cut(cp.alert_feed(scored(t), t.case, limit=None).select(F.col("transaction_id").alias("txn_id")))
+    return links.relationship_links(t.bank.join(feed, "txn_id", "left_semi")).select("source", "target", F.array_join("kinds", JOIN).alias("kinds"), "strength")
+
+
 view("in_out", """
   SELECT * FROM (SELECT c.account_no, c.txn_id AS in_txn, d.txn_id AS out_txn, c.credit AS in_amount, d.debit AS out_amount,
     c.ts AS in_ts, d.ts AS out_ts, d.ts - c.ts AS latency, row_number() OVER (PARTITION BY c.txn_id ORDER BY d.ts, d.txn_id) AS n

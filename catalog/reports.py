@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from catalog.base import Tables, entry, view
 from catalog.composites import lifted as lifted_scores
+from catalog.composites import scored
 from catalog.graphs import layered, seeds
 from catalog.queries import legs
 from weftline.operators import features as ft
 from weftline.operators import graphs as g
 from weftline.operators import links
+from weftline.plans import composite as cp
 from weftline.plans import evidence as ev
 from weftline.plans import reports as rp
 from weftline.plans import rules
+from weftline.session import cut
 
 
 def loops(t: Tables):
@@ -194,9 +197,15 @@ def c5(t: Tables):
 
 
 def alerts(t: Tables):
+    """Large payments as alerts, as the SQL of c6 has them."""
     return t.bank.where("debit >= 300000").select(F.col("txn_id").alias("transaction_id"), F.least(F.lit(100.0), F.col("debit") / 5000).alias("risk_score"))
 
 
+def every_alert(t: Tables):
+    """The whole alert feed; several jobs read it, so it is written once."""
+    return cut(cp.alert_feed(scored(t), t.case, limit=None).select("transaction_id", "risk_score"))
+
+
 view("dayk", """SELECT b.txn_id, count(*) AS k FROM (SELECT DISTINCT txn_id, (ts + 19800) // 86400 AS d, unnest([sender_phone, receiver_phone]) AS phone FROM f_bank) b
   JOIN call_ends c ON c.phone = b.phone AND (c.ts + 19800) // 86400 = b.d GROUP BY 1""")
 view("sdev", "SELECT a_number AS phone, count(DISTINCT imei) AS d FROM f_cdr WHERE imei IN (SELECT imei FROM f_cdr GROUP BY 1 HAVING count(DISTINCT a_number) >= 2) GROUP BY 1")
@@ -209,16 +218,21 @@ SELECT txn_id, upper(left(sha256(txn_id), 8)) AS case_code, concat_ws(',', CASE
     CASE WHEN retention_pct < 15 AND outflows > 0 THEN 'Pass-Through Account' END, CASE WHEN ratio >= 10 THEN 'Burst Activity' END, CASE WHEN sd > 0 THEN 'Shared-Device Ring' END) AS typologies
 FROM (SELECT f.*, CASE WHEN n >= 2 AND med > 0 THEN round(f.amount / med, 1) ELSE 0 END AS ratio, f.account_no IN (SELECT account_no FROM f_complaint) AS complained,
     coalesce((SELECT sum(d) FROM sdev WHERE phone IN (b.sender_phone, b.receiver_phone)), 0) AS sd FROM fflow f JOIN f_bank b USING (txn_id) JOIN {_MED} m ON m.account_no = f.account_no WHERE b.debit >= 300000)""")
-def c6(t: Tables):
+def c6(t: Tables, alerts=alerts):
     f = ev.red_flags(ev.case_evidence(t.case, alerts(t)))
     crit = F.array_sort(F.transform(F.filter("flags", lambda x: x["severity"] == "CRITICAL"), lambda x: F.when(x["indicator"] == "Fraud Complaint", F.lit("2")).otherwise(F.lit("1"))))
     names = F.transform(crit, lambda c: F.when(c == "1", "Unusual Transaction Size").otherwise("Fraud Complaint"))
     return f.select("txn_id", "case_code", F.array_join(names, ",").alias("critical"), F.array_join("typologies", ",").alias("typologies"))
 
 
+@entry("c6_red_flags_alert_feed")
+def c6b(t: Tables):
+    return c6(t, every_alert)
+
+
 @entry("c7_narratives")
 def c7(t: Tables):
-    e = ev.case_evidence(t.case, alerts(t))
+    e = ev.case_evidence(t.case, every_alert(t))
     return ev.narratives(e, ev.red_flags(e))
 
 
