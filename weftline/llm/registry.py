@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import documents
 from weftline.llm.importance import importance_report
+from weftline.llm.license_scan import license_report
 from weftline.llm.order_minhash import fingerprint_report
 from weftline.llm.packing import pack_report
 from weftline.llm.personal_data import personal_report
@@ -98,3 +99,8 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_importance")
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(documents(spark, sf_dir))
