@@ -23,6 +23,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows; filters put on the result stay above it, where costly columns are already computed once."""
     return df.withColumn("_settled", F.monotonically_increasing_id()).where("_settled >= 0").drop("_settled")

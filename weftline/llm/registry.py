@@ -18,6 +18,7 @@ from weftline.llm.sharding import shard_report
 from weftline.llm.simhash import duplicate_report
 from weftline.llm.token_counts import count_report
 from weftline.llm.toxicity import toxicity_report
+from weftline.llm.vector_codes import code_report
 
 QUERIES, SQL = {}, {}
 
@@ -42,6 +43,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     min_words=rules.MIN_WORDS, max_repeated=int(100 * rules.MAX_REPEATED), min_kept=rules.MIN_KEPT, max_symbols=rules.MAX_SYMBOLS)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -104,3 +109,8 @@ def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(documents(spark, sf_dir))
+
+
+@query("op13_vector_codes")
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(embeddings(spark, sf_dir))
