@@ -11,6 +11,8 @@ from weftline.session import ensure_checkpoint_dir, ship_package
 
 #: The separators of words in every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
+#: Copies of a key's total where rows of one key may be a large share of all.
+SALT = 32
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 
 
@@ -38,10 +40,21 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Ship the package to the workers and keep Arrow batches small, since single texts can be very long."""
+    """Ship the package to the workers and keep Arrow batches small in rows and bytes, since single texts can be very long."""
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``totals`` (one row for each ``key``, null included); no key's rows meet in one task.
+
+    Each total is copied SALT times, and rows are dealt over the copies by ``spread``, a hash of other columns.
+    """
+    copies = totals.withColumnRenamed(key, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    dealt = rows.withColumn("_salt", F.pmod(spread, F.lit(SALT)))
+    return dealt.join(copies, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_copy"))).drop("_key", "_copy", "_salt")
 
 
 def whole_text(name: str = "text") -> Column:

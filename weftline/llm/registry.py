@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import documents
+from weftline.llm.hard_negatives import negative_report
 from weftline.llm.importance import importance_report
 from weftline.llm.license_scan import license_report
 from weftline.llm.order_minhash import fingerprint_report
@@ -114,3 +115,8 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_vector_codes")
 def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_report(embeddings(spark, sf_dir))
+
+
+@query("op11_hard_negatives")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_report(embeddings(spark, sf_dir))

@@ -15,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, python_ready, stored
+from weftline.llm.common import discard, python_ready, stored, with_totals
 from weftline.llm.vectors import floored, matrix, sound, usual_length
 
 SCALE, PARTS, ENTRIES, ROUNDS, GROUP = 4096, 8, 16, 6, 4
 #: Relative slack that covers rounding of square roots and of stored bounds.
 SLACK = 1e-6
-#: Copies of a label's total, so that no label's rows meet in one task.
-SALT = 32
 
 
 def prepared(vectors: DataFrame, parts: int, scale: int) -> tuple[DataFrame, int]:
@@ -171,8 +169,6 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
 def code_report(vectors: DataFrame) -> DataFrame:
     codes, book = vector_codes(vectors)
     digest = hashlib.sha256(",".join(str(v) for v in book.reshape(-1).tolist()).encode()).hexdigest()
-    rows = codes.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error", "scans", F.pmod(F.xxhash64("vec_id", "x"), F.lit(SALT)).alias("salt"))
-    totals = rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    r, t = rows.alias("r"), totals.alias("t")
-    same = F.col("r.label").eqNullSafe(F.col("t.label")) & (F.col("r.salt") == F.col("t.salt"))
-    return r.join(t, same).select("r.vec_id", "r.code", "r.error", "t.label_error", F.lit(digest).alias("codebooks_sha256"), "r.scans")
+    totals = codes.groupBy("label").agg(F.sum("error").alias("label_error"))
+    named = with_totals(codes.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error", "scans", F.xxhash64("x").alias("spread")), totals, "label", F.xxhash64("vec_id", "spread"))
+    return named.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"), "scans")
