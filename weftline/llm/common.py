@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType
 
 from weftline.session import ensure_checkpoint_dir, ship_package
 
@@ -47,6 +50,31 @@ def python_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Names of types with Spark's and Arrow's.
+TYPES = {"string": (StringType(), pa.string()), "binary": (BinaryType(), pa.binary()), "long": (LongType(), pa.int64()), "int": (IntegerType(), pa.int32()), "double": (DoubleType(), pa.float64())}
+
+
+def computed(df: DataFrame, keep: list[str], use: list[str], make: Callable[[], Callable], made: str) -> DataFrame:
+    """``keep`` as they are, and the columns ``made`` from the columns ``use``, one row for each row.
+
+    ``make()`` runs once in a task and gives a function of lists (one for each column of ``use``) that returns arrays. The kept columns
+    stay in Arrow: an integer beside a null is not turned into a floating-point number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            found = work(*[batch.column(c).to_pylist() for c in use])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(v, t) for v, t in zip(found, types)]], names=[*keep, *names])
+
+    schema = df.select(*keep).schema
+    for part in made.split(", "):
+        schema = schema.add(part.split(" ")[0], TYPES[part.split(" ")[1]][0])
+    names = [p.split(" ")[0] for p in made.split(", ")]
+    types = [TYPES[p.split(" ")[1]][1] for p in made.split(", ")]
+    return df.select(*dict.fromkeys([*keep, *use])).mapInArrow(run, schema)
+
+
 def with_totals(rows: DataFrame, totals: DataFrame, key: str, spread: Column) -> DataFrame:
     """``rows`` with the columns of ``totals`` (one row for each ``key``, null included); no key's rows meet in one task.
 

@@ -132,16 +132,33 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 FOUND = "key long, slot int, other long, score long"
+#: Rows that a task gathers before it keeps the best of each slot, and passes them on if too many are left.
+GATHERED = 200_000
+
+
+def foremost(found: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """The ``most`` best rows of each (key, slot), by falling score, then smaller id."""
+    key, slot, other, score = found
+    order = np.lexsort((other, -score, slot, key))
+    key, slot = key[order], slot[order]
+    start = np.concatenate([[True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
+    first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+    kept = order[np.arange(len(key)) - first < most]
+    return [c[kept] for c in found]
 
 
 def scored(pairs: DataFrame, width: int, same: bool, most: int) -> DataFrame:
     """(key, slot, other, score): the ``most`` best rows of a block for each window of each anchor of a block.
 
-    Windows lie in ``low`` and ``high``; ``same`` asks for rows of the anchor's label, else for other labels. Rows of the anchor's own
+    A task keeps only the best of what all its blocks have for a slot. Windows lie in ``low`` and ``high``; ``same`` asks for rows of the anchor's label, else for other labels. Rows of the anchor's own
     id never count. Ties go to the smaller id, by which the rows of a block are sorted.
     """
 
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["key", "slot", "other", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
             for r in range(len(batch)):
                 anchors, rows = (batch.column(c)[r].values for c in ("anchors", "rows"))
@@ -154,7 +171,6 @@ def scored(pairs: DataFrame, width: int, same: bool, most: int) -> DataFrame:
                 fits = (labels[None, :] == kind[:, None]) == same
                 fits &= ids[None, :] != own[:, None]
                 low, high = anchors.field("low").to_pylist(), anchors.field("high").to_pylist()
-                out = []
                 for slot in range(max(map(len, low), default=0)):
                     has = np.array([n for n in range(len(own)) if slot < len(low[n])])
                     least, greatest = (np.array([v[n][slot] for n in has])[:, None] for v in (low, high))
@@ -168,8 +184,15 @@ def scored(pairs: DataFrame, width: int, same: bool, most: int) -> DataFrame:
                             break
                         out.append((keys[has[n]], np.full(len(n), slot, np.int32), ids[k[n]], here[n, k[n]].astype(np.int64)))
                         left[n, k[n]] = False
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "slot", "other", "score"])
+                        size += len(n)
+                if size > GATHERED:
+                    best_rows = foremost([np.concatenate(c) for c in zip(*out)], most)
+                    out, size = [tuple(best_rows)], len(best_rows[0])
+                    if size > GATHERED // 2:
+                        yield packed(best_rows)
+                        out, size = [], 0
+        if out:
+            yield packed(foremost([np.concatenate(c) for c in zip(*out)], most))
 
     return pairs.mapInArrow(run, FOUND)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import positions, python_ready, stored, whole_text
+from weftline.llm.common import computed, positions, python_ready, stored, whole_text
 
 BUCKETS, SMOOTHING, KEPT, SEED = 1 << 14, 1.0, 0.8, 17
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -80,15 +80,19 @@ def resampled(docs: DataFrame, target_ids: DataFrame, kept: float = KEPT, seed:
     rows = docs.select("doc_id", whole_text().alias("text")).join(marks, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     ratios = spark.sparkContext.broadcast(log_ratios(gram_counts(rows)))
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigher():
         tool = Grams()
-        for batch in batches:
-            own = [tool.hashes(t) for t in batch["text"]]
+
+        def weigh(texts: list[str]) -> list:
+            own = [tool.hashes(t) for t in texts]
             total = np.array([ratios.value[h].sum() for h in own], float)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "log_weight": total, "mean_weight": total / np.maximum(1, [len(h) for h in own])})
+            return [total, total / np.maximum(1, [len(h) for h in own])]
+
+        return weigh
 
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
-    scored = docs.select("doc_id", whole_text().alias("text")).mapInPandas(weigh, "doc_id long, log_weight double, mean_weight double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    scored = computed(rows, ["doc_id"], ["text"], weigher, "log_weight double, mean_weight double")
     keyed = stored(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(unit))))
     ranked = positions(keyed, [F.col("key").desc(), F.col("doc_id")])
     return ranked.select("doc_id", "log_weight", "mean_weight", "key", (F.col("position") + 1).alias("rank"), (F.col("position") < F.ceil(F.col("total") * kept)).alias("sampled"))

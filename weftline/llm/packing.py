@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import positions, python_ready, stored, whole_text
+from weftline.llm.common import computed, positions, python_ready, stored, whole_text
 from weftline.llm.hilbert import hilbert_numpy
 from weftline.llm.tokens import Encoder, loaded
 
@@ -38,16 +38,20 @@ def curve_point(ids: np.ndarray, vocabulary: int) -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n, curve, ids): token ids of the whole text, then the end id, as packed little-endian integers."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder():
         tool = loaded(Encoder, tokenizer)
         end = np.array([END], tool.width)
-        for batch in batches:
-            ids = [np.concatenate([tool.ids(t), end]) for t in batch["text"]]
+
+        def encode(texts: list[str]) -> list:
+            ids = [np.concatenate([tool.ids(t), end]) for t in texts]
             points = np.array([curve_point(x, tool.size) for x in ids]).reshape(-1, DIMENSIONS)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(x) for x in ids], "curve": hilbert_numpy(points, BITS), "ids": [x.tobytes() for x in ids], "wide": [x.itemsize for x in ids]})
+            return [[len(x) for x in ids], hilbert_numpy(points, BITS), [x.tobytes() for x in ids], [x.itemsize for x in ids]]
+
+        return encode
 
     python_ready(docs.sparkSession)
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(encode, "doc_id long, n long, curve long, ids binary, wide int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return computed(rows, ["doc_id"], ["text"], encoder, "n long, curve long, ids binary, wide int")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
@@ -62,20 +66,21 @@ def packed(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
     order = [F.col("curve"), F.col("doc_id"), F.col("row")]
     starts = positions(rows.select("row", "n", "curve", "doc_id"), order, "n").select("row", F.col("position").alias("at"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             out = []
-            for doc, n, curve, ids, wide, at in zip(*(batch[c] for c in ("doc_id", "n", "curve", "ids", "wide", "at"))):
+            for doc, n, curve, ids, wide, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "curve", "ids", "wide", "at"))):
                 ids = np.frombuffer(ids, f"<u{wide}").astype("<u4")
                 edges = [0, *range(length - at % length, n, length), n]
                 for a, b in zip(edges, edges[1:]):
                     piece = ids[a:b].tobytes()
                     out.append((doc, a, b - a, zlib.crc32(piece), n, (at + a) // length, (at + a) % length, curve, piece))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "ids" else pa.int64()) for name, c in zip(names, zip(*out))], names=names)
 
-    return rows.join(starts.hint("merge"), "row").select("doc_id", "n", "curve", "ids", "wide", "at").mapInPandas(
+    return rows.join(starts.hint("merge"), "row").select("doc_id", "n", "curve", "ids", "wide", "at").mapInArrow(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long, ids binary")
 
 

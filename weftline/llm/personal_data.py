@@ -155,17 +155,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     found = stored(found_spans(docs))
     more = stored(discovered(found)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "more")
-    own = [f"`{c}`" for c in docs.columns if c not in ("_id", "_hash", "more")]
     plain = F.transform(base_spans(), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    df = docs.select(*own).withColumn("_own", F.xxhash64(whole_text())).join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    df = df.select(*own, F.array_sort(F.concat(F.coalesce(plain, F.array().cast("array<struct<start:int,kind:int,end:int>>")), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("_spans"))
+    df = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(whole_text()).alias("_own")).join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    df = df.select("row", "text", F.array_sort(F.concat(F.coalesce(plain, F.array().cast("array<struct<start:int,kind:int,end:int>>")), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("_spans"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     pieces = (f"aggregate(_spans, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, s) -> CASE WHEN s.start >= a.at THEN named_struct('at', s.end, 'out', "
               f"concat(a.out, array(substring(text, a.at + 1, s.start - a.at), {names}[s.kind]))) ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END, "
               f"a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))")
     text = F.when(F.size("_spans") > 0, F.expr(pieces)).otherwise(F.col("text"))
-    df = df.select(*own, text.alias("_text"))
-    return df.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    df = df.select("row", text.alias("_text"))
+    return df.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def personal_report(docs: DataFrame) -> DataFrame:

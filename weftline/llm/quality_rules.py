@@ -48,8 +48,8 @@ def line_cleaned(docs: DataFrame) -> DataFrame:
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines_removed, cleaned, base_failed, kept;
     columns of these names are replaced, names that begin with ``_q`` are dropped, others pass through. Null texts count as
     empty; a text without words fails. Lines without a word are kept as they are and never judged. Whole texts are read: the
-    repeated windows come from one sort of (hash, place) numbers inside the row, with as many bits for the hash as the text's
-    length leaves of 64 (49 for 32 000 words). Each row is judged alone, so repeated rows agree and an empty table stays empty.
+    windows that could repeat come from one sort of (hash, place) numbers inside the row, with as many bits for the hash as the
+    text's length leaves of 64; those windows are then sorted by their words, and only equal words count. Each row is judged alone, so repeated rows agree and an empty table stays empty.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed", "cleaned", "base_failed", "kept")
     own = [f"`{c}`" for c in docs.columns if c not in added and not c.startswith("_q")]
@@ -58,10 +58,14 @@ def line_cleaned(docs: DataFrame) -> DataFrame:
     df = docs.select(*own, words_of(text).alias("_q_words"))
     df = df.select(*own, "_q_words", F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.length(F.bin(F.size(w).cast("long"))).alias("_q_shift"))
     window = F.when(F.col("n_words") >= 3, F.expr("sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> shiftleft(xxhash64(get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2)), _q_shift) | i))"))
-    df = df.select(*own, "n_words", "word_chars", "_q_shift", window.alias("_q_windows"))
+    df = df.select(*own, "_q_words", "n_words", "word_chars", "_q_shift", window.alias("_q_windows"))
     same = "shiftrightunsigned(v ^ get(_q_windows, i {}), _q_shift) = 0"
     repeated = f"filter(_q_windows, (v, i) -> coalesce({same.format('- 1')}, false) or coalesce({same.format('+ 1')}, false))"
-    df = df.select(*own, "n_words", "word_chars", F.expr(f"sort_array(transform({repeated}, v -> v & (shiftleft(1L, _q_shift) - 1)))").alias("_q_places"))
+    words = "transform({}, v -> transform(array(cast(v & (shiftleft(1L, _q_shift) - 1) AS int)), p -> named_struct('a', get(_q_words, p), 'b', get(_q_words, p + 1), 'c', get(_q_words, p + 2), 'p', p))[0])"
+    df = df.select(*own, "n_words", "word_chars", F.expr(f"sort_array({words.format(repeated)})").alias("_q_same"))
+    equal = "v.a = get(_q_same, i {0}).a AND v.b = get(_q_same, i {0}).b AND v.c = get(_q_same, i {0}).c"
+    exact = f"filter(_q_same, (v, i) -> coalesce({equal.format('- 1')}, false) OR coalesce({equal.format('+ 1')}, false))"
+    df = df.select(*own, "n_words", "word_chars", F.expr(f"sort_array(transform({exact}, v -> cast(v.p AS bigint)))").alias("_q_places"))
     covered = "aggregate(_q_places, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     df = df.select(*own, "n_words", "word_chars", F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"), count_matches(text, SYMBOLS).alias("n_symbols"), lines.alias("_q_lines"))
@@ -80,8 +84,8 @@ def line_cleaned(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their failing lines removed; ``n_chars``, where there is one, follows the text."""
-    kept = settled(line_cleaned(docs)).where("kept")
-    return kept.select(*[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    kept = settled(line_cleaned(docs.select(F.struct("*").alias("row"), "text"))).where("kept")
+    return kept.select(*[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def rules_report(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import python_ready, whole_text
+from weftline.llm.common import computed, python_ready, whole_text
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -207,14 +206,18 @@ def piece_ids(docs: DataFrame, model: str) -> DataFrame:
     columns are ignored. Words are matched once in a worker for as long as they stay in its cache.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder():
         tool = Cached(model)
-        for batch in batches:
-            ids = tool.encode(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "decoded": pd.Series([tool.model.decode(x.tolist()) for x in ids], dtype=object)})
+
+        def encode(texts: list[str]) -> list:
+            ids = tool.encode(texts)
+            return [[x.tobytes() for x in ids], [tool.model.decode(x.tolist()) for x in ids]]
+
+        return encode
 
     python_ready(docs.sparkSession)
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(encode, "doc_id long, ids binary, decoded string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return computed(rows, ["doc_id"], ["text"], encoder, "ids binary, decoded string")
 
 
 def piece_report(docs: DataFrame, model: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import python_ready, stored, whole_text
+from weftline.llm.common import computed, python_ready, stored, whole_text
 from weftline.operators.graphs import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -43,13 +43,9 @@ def fingerprint(text: str) -> int:
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fingerprint as a signed 64-bit integer) of every whole text; null counts as empty."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fingerprint": found})
-
     python_ready(docs.sparkSession)
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), whole_text().alias("text")).mapInPandas(hashed, "doc_id long, text_hash long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), whole_text().alias("text"))
+    return computed(rows, ["doc_id", "text_hash"], ["text"], lambda: lambda texts: [np.array([*map(fingerprint, texts)], np.uint64).view(np.int64)], "fingerprint long")
 
 
 @lru_cache
@@ -140,17 +136,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, whole: that with the smallest doc_id (then text hash; ids before nulls).
 
-    Identical rows count as one. Columns are those of ``docs``.
+    Identical rows count as one. Columns are those of ``docs``, whatever their names.
     """
     rows, member = grouped(docs, threshold)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = rows.groupBy("fingerprint").agg(F.min(order).alias("f"))
     first = member.join(best, "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select("f.*")
-    names = ["_no_id", "_id", "_own"]
+    names = ["no_id", "id", "own"]
     key = lambda ident, own: [ident.isNull().alias(names[0]), F.coalesce(ident, F.lit(0).cast("long")).alias(names[1]), own.alias(names[2])]
     # plain keys, so that join and dropDuplicates share one shuffle of the texts; as at any size, neither side is broadcast
-    kept = docs.select("*", *key(F.col("doc_id"), F.xxhash64("text"))).join(first.select(*key(F.col("doc_id"), F.col("text_hash"))).hint("merge"), names, "left_semi")
-    return kept.dropDuplicates(names).drop(*names)
+    kept = docs.select(F.struct("*").alias("row"), *key(F.col("doc_id"), F.xxhash64("text"))).join(first.select(*key(F.col("doc_id"), F.col("text_hash"))).hint("merge"), names, "left_semi")
+    return kept.dropDuplicates(names).select("row.*")
 
 
 def duplicate_report(docs: DataFrame) -> DataFrame:
