@@ -23,8 +23,8 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the convolutional classifier, trained on the labels, scores below the limit."""
-    clean = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score="_toxic_score", flag="_toxic_flag").where(F.col("_toxic_score") < TOXIC)
-    return clean.drop("_toxic_score", "_toxic_flag")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
+    return toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("score") < TOXIC).select("row.*")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
