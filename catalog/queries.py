@@ -12,6 +12,7 @@ from weftline.operators import graphs as g
 from weftline.operators import links
 from weftline.operators.views import bank_legs, call_view, session_view
 from weftline.plans import queries as q
+from weftline.plans import retrieval
 from weftline.plans import rules
 from weftline.plans import validation as va
 
@@ -202,6 +203,32 @@ def c11(t: Tables):
     return q.retrieve(rq, t.case, legs(t)).select("request_id", "table", "id", "pos")
 
 
+@entry("c11_evidence_snippets", """
+WITH rq AS (SELECT complaint_id AS request_id, right(mobile, 10) AS phone, account_no AS account FROM f_complaint),
+named AS (SELECT request_id, 0 AS place, phone AS value FROM rq UNION SELECT request_id, 1, account FROM rq WHERE account <> phone),
+rows_ AS (SELECT DISTINCT * FROM (SELECT 0 AS t, txn_id AS id, unnest([right(sender_phone, 10), right(receiver_phone, 10)]) AS value FROM legs
+  UNION ALL SELECT 1, cdr_id, unnest([right(a_number, 10), right(b_number, 10)]) FROM f_cdr UNION ALL SELECT 2, ipdr_id, right(msisdn, 10) FROM f_ipdr UNION ALL SELECT 3, sub_id, right(msisdn, 10) FROM f_sub)),
+top AS (SELECT *, row_number() OVER (PARTITION BY value, t ORDER BY id) AS rank FROM rows_ QUALIFY rank <= CASE WHEN t = 3 THEN 2 ELSE 3 END),
+once AS (SELECT request_id, t, id, min(struct_pack(a := place, t := t, r := rank)) AS o FROM named JOIN top USING (value) GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY o, id) AS pos FROM once QUALIFY pos <= 8),
+said AS (SELECT 0 AS t, txn_id AS id, trim(txn_id || ' ₹' || format('{:,}', CAST(amount AS BIGINT)) || ' ' || coalesce(mode, '') || ' ' || coalesce(date, '') || ' ' || coalesce(timestamp, '') || ' from=' || coalesce(sender_account, 'None')
+    || ' (' || coalesce(sender_name, '') || ') to=' || coalesce(receiver_account, 'None') || ' (' || coalesce(receiver_name, '') || ')') AS snippet FROM legs
+  UNION ALL SELECT 1, cdr_id, trim(cdr_id || ' ' || date || ' ' || time || ' ' || coalesce(call_type, '') || ' ' || duration_sec || 's ' || a_number || ' -> ' || b_number || ' tower=' || coalesce(bts_location_first, '') || ' circle=' || coalesce(roaming_circle, '')) FROM f_cdr
+  UNION ALL SELECT 2, ipdr_id, trim(ipdr_id || ' ' || date || ' ' || start_time || ' msisdn=' || msisdn || ' imei=' || imei || ' ' || source_ip || ' -> ' || coalesce(dest_ip, 'None') || ' port= ' || duration_sec || 's') FROM f_ipdr
+  UNION ALL SELECT 3, sub_id, 'subscriber ' || subscriber_name || ' circle=' || circle || ' imsi=' || imsi || ' imei=' || imei FROM f_sub)
+SELECT request_id, pos, ['bank', 'cdr', 'ipdr', 'subscriber'][t + 1] AS "table", id, 'phone' AS found_by, snippet FROM best JOIN said USING (t, id)""")
+def c11b(t: Tables):
+    rq = t.complaints.select(F.col("complaint_id").alias("request_id"), F.concat(F.lit("please check phone "), F.right("mobile", F.lit(10)), F.lit(" and account "), "account_no").alias("text"))
+    return retrieval.retrieve(rq, t.case, legs(t))
+
+
+@entry("c11_evidence_for_conversations")
+def c11c(t: Tables):
+    """Every turn of every conversation as a request."""
+    turns = t.read("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text")
+    return retrieval.retrieve(turns, t.case, legs(t))
+
+
 @entry("x21_row_risk", """SELECT txn_id, least(100, CASE WHEN amount >= 500000 THEN 30 WHEN amount >= 100000 THEN 20 WHEN amount >= 25000 THEN 10 ELSE 0 END
   + CASE WHEN left(time, 2) < '06' OR left(time, 2) >= '22' THEN 15 ELSE 0 END + CASE WHEN mode IN ('UPI', 'IMPS') THEN 10 WHEN mode = 'NEFT' THEN 5 ELSE 0 END + 8
   + CASE WHEN amount >= 10000 AND CAST(amount AS BIGINT) % 1000 = 0 THEN 8 ELSE 0 END) AS risk FROM f_bank""")
