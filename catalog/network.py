@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalog.base import Tables, entry
 from weftline.operators import graphs as g
 from weftline.plans import composite as cp
-from weftline.plans import network
+from weftline.plans import network, reports, rules
 from weftline.operators import features as ft
-from weftline.operators import ml
+from weftline.operators import links, ml
 
 STRUCTURAL = ("degree", "out_degree", "in_degree", "out_amount", "in_amount")
 
@@ -56,3 +56,11 @@ def r10(t: Tables):
 @entry("g18_hub_table")
 def g18(t: Tables):
     return network.hub_table(g.money_edges(t.bank))
+
+
+@entry("a19_executive_all_parts")
+def a19(t: Tables):
+    """The executive row over every loop, with the detectors' most unusual account in the overall risk, and all columns."""
+    payouts = ft.rapid_payouts(t.bank)
+    outliers = ml.outlier_list(ft.outlier_matrix(t.bank, payouts))
+    return reports.executive(t.case, rules.account_heat(t.case), rules.phone_heat(t.cdr), g.circular_flows(t.bank, cap=None), payouts, links.coincidences(t.case).select("phone"), outliers)
