@@ -320,32 +320,25 @@ def rapid_in_out(bank: DataFrame, window_min: int = 15, limit: int = 100, share:
     return out.orderBy("latency", "in_txn").limit(limit) if limit else out
 
 
-def shared_device_phones(cdr: DataFrame, top: int = 10, crowded: int = 1000) -> DataFrame:
-    """Other phones that used one of a phone's devices, by number of records; exact without pairing crowds.
+def shared_device_phones(cdr: DataFrame, top: int = 10) -> DataFrame:
+    """Other phones that used one of a phone's devices, by number of records; ties by phone.
 
-    A device with at most ``crowded`` phones pairs them directly. For crowded devices only the first
-    ``top + 1`` phones of each distinct set of crowded devices are candidates: a phone outside that list
-    and not met on a small device has a lower total than all in it, since their totals can only grow.
-    Candidates then get their exact totals over all shared devices.
+    Phones with the same set of devices have the same totals, so these are formed once for each distinct set: for a
+    device that a crowd uses alone, one list serves the whole crowd. Sets are told apart by their size and two sums of
+    64-bit hashes and never gathered. Only the first ``top + 1`` phones of a set can be listed for one of its members.
     """
     use = (cdr.where("a_number is not null and imei is not null")
            .groupBy("imei", F.col("a_number").alias("phone")).agg(F.count(F.lit(1)).alias("records")))
-    size = use.groupBy("imei").agg(F.count(F.lit(1)).alias("k"))
-    tagged = use.join(size, "imei")
-    small, big = tagged.where(F.col("k") <= crowded).drop("k"), tagged.where(F.col("k") > crowded).drop("k")
-    near = small.select("imei", "phone").join(small.select("imei", F.col("phone").alias("other")), "imei").select("phone", "other")
-    # a phone's set of crowded devices; phones with equal sets share one candidate list
-    sets = big.groupBy("phone").agg(F.sort_array(F.collect_set("imei")).alias("devices"))
-    totals = (sets.select("devices").distinct().select("devices", F.explode("devices").alias("imei"))
-              .join(big, "imei").groupBy("devices", "phone").agg(F.sum("records").alias("t")))
-    w = W.partitionBy("devices").orderBy(F.desc("t"), "phone")
-    best = totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1).select("devices", F.col("phone").alias("other"))
-    candidates = near.unionByName(sets.join(best, "devices").select("phone", "other")).where("phone <> other").distinct()
-    exact = (candidates.join(use.select("phone", "imei"), "phone")
-             .join(use.select("imei", F.col("phone").alias("other"), "records"), ["imei", "other"])
-             .groupBy("phone", "other").agg(F.sum("records").alias("records")))
-    by_phone = W.partitionBy("phone").orderBy(F.desc("records"), "other")
-    return exact.withColumn("rank", F.row_number().over(by_phone)).where(F.col("rank") <= top)
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)")).cast("string")
+    member = use.groupBy("phone").agg(F.concat_ws("/", F.count(F.lit(1)), wide(F.col("imei")), wide(F.lit("second"), F.col("imei"))).alias("devices"))
+    one = member.groupBy("devices").agg(F.min("phone").alias("phone"))
+    totals = (one.join(use.select("phone", "imei"), "phone").select("devices", "imei")
+              .join(use, "imei").groupBy("devices", F.col("phone").alias("other")).agg(F.sum("records").alias("records")))
+    w = W.partitionBy("devices").orderBy(F.desc("records"), "other")
+    best = totals.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top + 1)
+    by_phone = W.partitionBy("phone").orderBy("place")
+    return (member.join(best, "devices").where("phone <> other").withColumn("rank", F.row_number().over(by_phone))
+            .where(F.col("rank") <= top).select("phone", "other", "records", "rank"))
 
 
 def missing_links(case: Case, limit: int = 10) -> DataFrame:
