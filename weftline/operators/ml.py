@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.features import OUTLIER_FEATURES, max_abs, rank_normalised, standardised
 from weftline.operators.neighbours import neighbour_scores
-from weftline.operators.ordering import linear_quantiles, with_scalars
+from weftline.operators.ordering import linear_quantiles, order_statistics, with_scalars
 from weftline.session import cut, ship_package
 
 
@@ -220,20 +220,33 @@ def deviating_features(matrix: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES
             .select("account_no", (F.col("i") + 1).alias("rank"), "f.feature", (-F.col("f.k")).alias("z")))
 
 
+def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Rows with ``train``: in every class the share of keys with the smallest hashes, so that each part holds exactly its quota.
+
+    A class of two and more rows has at least one in each part; a single row is trained on. The hash at the quota is found by
+    counting hashes by range, not by sorting a class in one task. Rows whose keys are equal go together.
+    """
+    marked = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), 16))
+    n = F.col("n")
+    quota = F.greatest(F.lit(1), F.least(n - 1, F.floor(n * share + 0.5)))
+    last = order_statistics(marked, [label], "__hash", {"__last": (quota - 1).cast("long")}, width=float(2 ** 36)).select(label, "__last")
+    return marked.join(F.broadcast(last), label).withColumn("train", F.col("__hash") <= F.col("__last")).drop("__hash", "__last")
+
+
 def supervised_scores(matrix: DataFrame, labels: DataFrame, cols: Sequence[str], key: str = "account_no", seed: int = 42) -> DataFrame:
     """Forest and boosted-tree probabilities, trained on a stratified 70 % split, as percentile ranks.
 
-    ``labels`` holds the positive keys. Classes are balanced by weight.
+    ``labels`` holds the positive keys. Classes are balanced by weight. ``train`` tells the rows that the models were fitted on.
     """
     x = cut(standardised(matrix, cols, key)).join(labels.select(key).distinct().withColumn("label", F.lit(1.0)), key, "left")
     x = VectorAssembler(inputCols=list(cols), outputCol="v").transform(x.withColumn("label", F.coalesce("label", F.lit(0.0))))
-    split = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < 70
-    train = x.where(split)
+    x = cut(stratified_split(x, key, "label", 0.7, seed))
+    train = x.where("train")
     stats = train.agg(F.avg("label").alias("p"))
     p = F.col("scalars")["p"]
     train = with_scalars(train, stats).withColumn("weight", F.when(F.col("label") == 1, 0.5 / F.greatest(p, F.lit(1e-9))).otherwise(
         0.5 / F.greatest(1 - p, F.lit(1e-9)))).drop("scalars")
-    out = x.select(key, "label")
+    out = x.select(key, "label", "train")
     for name, est in (("random_forest", RandomForestClassifier(numTrees=50, seed=seed)), ("boosted_trees", GBTClassifier(maxIter=20, maxDepth=4, seed=seed))):
         model = est.setFeaturesCol("v").setLabelCol("label").setWeightCol("weight").fit(train)
         prob = model.transform(x).select(key, vector_to_array("probability")[1].alias("prob"))
