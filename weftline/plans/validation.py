@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.case import Case
+
 
 def id_coverage(want: DataFrame, have: DataFrame) -> DataFrame:
     """How many wanted ids are present: (total, matched, recall)."""
@@ -19,9 +23,9 @@ def pair_quality(want: DataFrame, have: DataFrame) -> DataFrame:
     cols = want.columns
     w = want.distinct().withColumn("w", F.lit(1))
     h = have.select(*cols).distinct().withColumn("h", F.lit(1))
-    j = w.join(h, cols, "full").agg(F.sum(F.when(F.expr("w = 1 and h = 1"), 1).otherwise(0)).alias("tp"),
-                                    F.sum(F.when(F.expr("w is null"), 1).otherwise(0)).alias("fp"),
-                                    F.sum(F.when(F.expr("h is null"), 1).otherwise(0)).alias("fn"))
+    j = w.join(h, cols, "full").agg(F.count_if(F.expr("w = 1 and h = 1")).alias("tp"),
+                                    F.count_if(F.expr("w is null")).alias("fp"),
+                                    F.count_if(F.expr("h is null")).alias("fn"))
     return _ratios(j)
 
 
@@ -81,3 +85,30 @@ def validation_report(coverage: DataFrame, links: DataFrame, anomalies: DataFram
             .unionByName(long(links, "links", F.col("kind"), ["tp", "fp", "fn", "precision", "recall", "f1"]))
             .unionByName(long(anomalies, "anomalies", F.concat_ws("/", F.col("threshold").cast("string"), "scope", "scenario"),
                               ["tp", "fp", "fn", "tn", "precision", "recall", "f1"])))
+
+
+def labelled_coverage(case: Case, suspicious: DataFrame, bank_calls: DataFrame, calls_sessions: DataFrame) -> DataFrame:
+    """Per dataset the share of labelled ids that its table holds; labels are the suspicious payments and the correlated pairs."""
+    one = lambda df, column: df.select(F.col(column).alias("id"))
+    many = lambda column: suspicious.select(F.explode(column).alias("id"))
+    want = {"bank": (one(suspicious, "transaction_id").unionByName(one(bank_calls, "left_id")), one(case.bank, "txn_id")),
+            "cdr": (many("cdr_ids").unionByName(one(bank_calls, "right_id")).unionByName(one(calls_sessions, "left_id")), one(case.cdr, "cdr_id")),
+            "ipdr": (many("ipdr_ids").unionByName(one(calls_sessions, "right_id")), one(case.ipdr, "ipdr_id"))}
+    return reduce(DataFrame.unionByName, [id_coverage(ids, have).withColumn("dataset", F.lit(name)) for name, (ids, have) in want.items()])
+
+
+def labelled_links(case: Case, bank_calls: DataFrame, calls_sessions: DataFrame, window: int = 300) -> DataFrame:
+    """Quality of the links within the usual window, and within the largest gap that the labels have, so that a miss can be told apart."""
+    from weftline.operators.links import bank_call_links, call_session_pairs
+    parts = []
+    for kind, pairs, links in (("bank_cdr", bank_calls, lambda w: bank_call_links(case, w).select("txn_id", "cdr_id")), ("cdr_ipdr", calls_sessions, lambda w: call_session_pairs(case, w))):
+        widest = pairs.agg(F.max("time_diff")).first()[0]
+        for name, width in (("window", window), ("labels", window if widest is None else int(widest))):
+            found = links(width).toDF("left_id", "right_id")
+            parts.append(pair_quality(pairs.select("left_id", "right_id"), found).withColumn("kind", F.lit(f"{kind}/{name}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def labelled_report(case: Case, suspicious: DataFrame, bank_calls: DataFrame, calls_sessions: DataFrame, scores: DataFrame) -> DataFrame:
+    """Validation report of an ingested folder against its own labels; ``scores`` has transaction_id and risk_score."""
+    return validation_report(labelled_coverage(case, suspicious, bank_calls, calls_sessions), labelled_links(case, bank_calls, calls_sessions), anomaly_quality(scores, suspicious))
