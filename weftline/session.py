@@ -48,9 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage stops here and survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: lineage stops here and survives executor loss.
+
+    A checkpoint keeps the size that was guessed for its plan. In a loop that joins its own rounds the guesses multiply, until
+    planning itself takes for ever; so the rows are taken up as a table of unknown size, and adaptive execution measures them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
 
 
 def ship_package(spark: SparkSession) -> None:
