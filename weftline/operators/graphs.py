@@ -294,12 +294,27 @@ def circular_accounts(flow: DataFrame) -> DataFrame:
     return strong_components(inner).select(F.col("node").alias("account_no")).distinct()
 
 
-def layering_depth(flow: DataFrame, cutoff: int = 3) -> DataFrame:
-    """Per account: farthest hop (at most ``cutoff``) at which a new account is reached."""
-    adj = flow.where(~F.col("dst").startswith(CTP) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+def layering_depth(flow: DataFrame, cutoff: int = 3, width: int = 16) -> DataFrame:
+    """Per account: farthest hop (at most ``cutoff``) at which a new account is reached.
+
+    Each account keeps the ``width`` accounts with the smallest hashes among those within h hops, built from its neighbours' own.
+    One that was not there a hop before proves the hop; fewer than ``width`` are all there are. Only accounts that this leaves
+    open are expanded in full, so the rows of a round are bounded by edges times ``width``.
+    """
+    adj = cut(flow.where(~F.col("dst").startswith(CTP) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
     sources = flow.select(F.explode(F.array("src", "dst")).alias("node")).where(~F.col("node").startswith(CTP)).distinct()
-    layers = hop_layers(sources, adj, cutoff)
-    return layers.groupBy(F.col("seed").alias("account_no")).agg(F.max("hop").alias("layering_depth"))
+    near = cut(sources.select("node", F.col("node").alias("met"), F.lit(0).alias("hop")))
+    first = W.partitionBy("node").orderBy(F.xxhash64("met"), "met")
+    for hop in range(1, cutoff + 1):
+        step = adj.join(near.select(F.col("node").alias("dst"), "met"), "dst").select(F.col("src").alias("node"), "met", F.lit(hop).alias("hop"))
+        seen = step.unionByName(near).groupBy("node", "met").agg(F.min("hop").alias("hop"))
+        near = cut(seen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= width).drop("place"))
+    depth = near.groupBy("node").agg(F.max("hop").alias("depth"), F.count(F.lit(1)).alias("kept"))
+    still_open = (F.col("depth") < cutoff) & (F.col("kept") >= width)
+    depth = cut(depth.withColumn("open", still_open))
+    rest = hop_layers(depth.where("open").select("node"), adj, cutoff).groupBy(F.col("seed").alias("node")).agg(F.max("hop").alias("depth"))
+    return depth.where("not open").select("node", "depth").unionByName(rest).select(
+        F.col("node").alias("account_no"), F.col("depth").alias("layering_depth"))
 
 
 def money_flow(bank: DataFrame, flow: DataFrame | None = None, min_edge: float = 10000.0) -> DataFrame:
