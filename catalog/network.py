@@ -10,6 +10,7 @@ from weftline.plans import composite as cp
 from weftline.plans import network, reports, rules
 from weftline.operators import features as ft
 from weftline.operators import links, ml
+from weftline.operators.modularity import modularity_communities
 
 STRUCTURAL = ("degree", "out_degree", "in_degree", "out_amount", "in_amount")
 
@@ -64,3 +65,13 @@ def a19(t: Tables):
     payouts = ft.rapid_payouts(t.bank)
     outliers = ml.outlier_list(ft.outlier_matrix(t.bank, payouts))
     return reports.executive(t.case, rules.account_heat(t.case), rules.phone_heat(t.cdr), g.circular_flows(t.bank, cap=None), payouts, links.coincidences(t.case).select("phone"), outliers)
+
+
+@entry("g13_modularity_calls")
+def g13(t: Tables):
+    return modularity_communities(g.call_edges(t.cdr))
+
+
+@entry("g13_modularity_accounts")
+def g13b(t: Tables):
+    return modularity_communities(g.flow_edges(t.bank))
