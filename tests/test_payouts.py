@@ -1,6 +1,7 @@
 """Payout bursts and money kept, on rows that the small tables do not hold."""
 
 from weftline.operators.features import rapid_payouts
+from weftline.plans.evidence import funds_flow
 
 
 def test_debits_of_nothing_are_no_payouts(spark):
@@ -8,3 +9,9 @@ def test_debits_of_nothing_are_no_payouts(spark):
     bank = spark.createDataFrame(rows, "txn_id string, account_no string, ts long, debit double").selectExpr("*", "'D' as txn_type", "'UPI' as mode")
     got = {(r.account_no, r["count"], r.start_ts, r.total, tuple(x.txn_id for x in r.txns)) for r in rapid_payouts(bank).collect()}
     assert got == {("b", 5, 100, 250.0, ("u1", "u2", "u3", "u4", "u5"))}
+
+
+def test_half_a_tenth_kept_is_rounded_away_from_zero(spark):
+    rows = [("c", "a", "b", 1000000.0, None), ("d", "b", "a", None, 3555500.0)]
+    bank = spark.createDataFrame(rows, "txn_id string, account_no string, receiver_account string, credit double, debit double")
+    assert {r.txn_id: r.retention_pct for r in funds_flow(bank).collect()} == {"c": -255.6, "d": 0.0}

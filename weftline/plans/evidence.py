@@ -158,7 +158,9 @@ def funds_flow(bank: DataFrame) -> DataFrame:
     out = bank.where("debit > 0").groupBy(F.col("account_no").alias("receiver_account")).agg(F.count(F.lit(1)).alias("outflows"), F.sum("debit").alias("total_outflow"))
     j = bank.select("txn_id", "account_no", "receiver_account", any_amount().alias("amount")).join(into, "account_no", "left").join(out, "receiver_account", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    keep = F.when(z("total_inflow") > 0, F.round((z("total_inflow") - z("total_outflow")) / z("total_inflow") * 100, 1) + 0.0).otherwise(0.0)
+    share = (z("total_inflow") - z("total_outflow")) / z("total_inflow") * 100
+    # scaled before it is rounded: a half may lie just below its decimal (-255.54999999999998 for -255.55)
+    keep = F.when(z("total_inflow") > 0, F.round(share * 10) / 10 + 0.0).otherwise(0.0)
     return j.select("txn_id", "account_no", "receiver_account", "amount", z("inflows").alias("inflows"), z("total_inflow").cast("double").alias("total_inflow"),
                     z("outflows").alias("outflows"), z("total_outflow").cast("double").alias("total_outflow"), keep.alias("retention_pct"))
 
