@@ -3,8 +3,16 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.scoring import confidence
+from weftline.operators.features import history_features
 
 
 def test_confidence_below_a_half(spark):
     """0.5 + 15 / 200 is stored below 0.575."""
     assert [r[0] for r in spark.createDataFrame([(15.0,), (16.0,)], "s double").select(confidence(F.col("s"))).collect()] == [0.57, 0.58]
+
+
+def test_days_since_last_payment_below_a_half(spark):
+    """12528 seconds are 0.145 days, stored below it."""
+    rows = [("a", "A", 0, 100.0, None, 10.0, None, None), ("b", "A", 12528, 100.0, None, 10.0, None, None)]
+    bank = spark.createDataFrame(rows, "txn_id string, account_no string, ts long, debit double, credit double, balance double, merchant_name string, payment_gateway string")
+    assert {r["txn_id"]: r["feat_days_since_last_txn"] for r in history_features(bank).collect()} == {"a": 0.0, "b": 0.14}
