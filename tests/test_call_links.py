@@ -23,3 +23,20 @@ def test_pairs_on_two_phones_and_repeated_ids(spark):
     assert sorted(got) == sorted((t, c, d) for (t, c), d in want.items())
     plan = links._jdf.queryExecution().optimizedPlan().toString().strip()
     assert not plan.startswith("Aggregate")
+
+
+def test_rows_of_both_ends_travel_with_the_pairs(spark):
+    """The same as joining them to the pairs, with repeated, missing and dropped ids, and no join above that of the pairs."""
+    bank = spark.createDataFrame([("t1", 0, "919000000001", None), ("t2", 10, "919000000001", "919000000002"), ("t3", 20, "919000000002", None)],
+                                 "txn_id string, ts long, sender_phone string, receiver_phone string")
+    cdr = spark.createDataFrame([("c1", 5, "919000000001", "919000000002"), ("c2", 30, "919000000002", None), ("c3", 9000, "919000000001", None)],
+                                "cdr_id string, ts long, a_number string, b_number string")
+    case = Case(bank=bank, cdr=cdr, ipdr=None, complaints=None, subscribers=None)
+    pay = spark.createDataFrame([("t1", 1.0, "x"), ("t2", 2.0, None), ("t2", 3.0, "y")], "txn_id string, amount double, who string")
+    call = cdr.select("cdr_id", "b_number")
+    got = bank_call_links(case, pay=pay, call=call)
+    want = bank_call_links(case).join(pay, "txn_id").join(call, "cdr_id").select(got.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and want.count() == 5
+    top = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "__bucket" in top
