@@ -32,6 +32,21 @@ def test_bands_match_brute_force(spark):
         assert {(r.pid, r.eid) for r in pairs.collect()} == {(pid, eid) for pid, k, t in pts for _, eid in want[(k, t)]}
 
 
+def test_whole_numbers_are_never_added_up_anew_for_each_row(spark):
+    """Running totals only, for several frames and measures at once; fractions keep their sliding sums."""
+    pts, evs = _data()
+    p = spark.createDataFrame(pts, "pid string, k string, ts long")
+    e = spark.createDataFrame([(*x, i % 4) for i, x in enumerate(evs)], "eid string, k string, ts long, w int")
+    frames = {"a": (-600, -1, "n"), "b": (0, 90, "w"), "c": (-1, -1, "n"), "d": (-300, 300, "half")}
+    out = band_totals(p, e, ["k"], frames, {"n": F.lit(1).cast("long"), "w": F.col("w"), "half": F.col("w") / 2})
+    for r in out.collect():
+        near = lambda lo, hi: [i % 4 for i, (_, k, t) in enumerate(evs) if k == r.k and lo <= t - r.ts <= hi]
+        assert (r.a, r.b, r.c, r.d) == (len(near(-600, -1)), sum(near(0, 90)), len(near(-1, -1)), sum(near(-300, 300)) / 2)
+    sliding = lambda df: str(df._jdf.queryExecution().optimizedPlan()).count("RangeFrame, cast(-") + str(df._jdf.queryExecution().optimizedPlan()).count("RangeFrame, -")
+    assert sliding(out) == 1
+    assert sliding(first_in_band(p, e, ["k"], -300, 300, 3, "eid", [])) == 0
+
+
 def test_positions_running_and_trailing_across_blocks(spark):
     pts, _ = _data(200)
     d = with_position(spark.createDataFrame(pts, "pid string, k string, ts long"), ["k"], "pid")
