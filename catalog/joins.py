@@ -114,14 +114,9 @@ UNION ALL
 SELECT 'cdr_ipdr', w, count(*) FROM (SELECT DISTINCT w, cdr_id, ipdr_id FROM session_links
   JOIN (SELECT unnest([300, 900]) AS w) ON time_diff <= w) GROUP BY w""")
 def j5(t: Tables):
-    out = None
-    for w in (300, 900):
-        for kind, pairs in (("bank_cdr", links.bank_call_links(t.case, w)),
-                            ("cdr_ipdr", links.call_session_pairs(t.case, w))):
-            one = pairs.agg(F.count(F.lit(1)).alias("pairs")).select(
-                F.lit(kind).alias("kind"), F.lit(w).alias("window_sec"), "pairs")
-            out = one if out is None else out.unionByName(one)
-    return out
+    counts = {"bank_cdr": links.bank_call_pair_counts(t.case, (300, 900)), "cdr_ipdr": links.call_session_pair_counts(t.case, (300, 900))}
+    one, two = (n.select(F.lit(kind).alias("kind"), "window_sec", "pairs") for kind, n in counts.items())
+    return one.unionByName(two)
 
 
 view("tl", """

@@ -3,7 +3,8 @@
 import random
 
 from weftline.case import Case
-from weftline.operators.links import bank_call_links
+from weftline.operators.links import bank_call_links, pair_counts
+from weftline.plans.validation import pair_quality, window_quality
 
 
 def test_pairs_on_two_phones_and_repeated_ids(spark):
@@ -40,3 +41,21 @@ def test_rows_of_both_ends_travel_with_the_pairs(spark):
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and want.count() == 5
     top = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
     assert "__bucket" in top
+
+
+def test_pairs_are_counted_without_being_formed(spark):
+    """Two shared keys, repeated ids, ids without a name, many keys: as many pairs as there are; and links held against links of another window."""
+    rnd = random.Random(5)
+    side = lambda name, n, keys: [(rnd.choice([None, *[f"{name}{i}" for i in range(n)]]), rnd.choice([None, *range(0, 2000, 30)]), f"k{rnd.randrange(keys)}")
+                                  for _ in range(n * 2)] + [(f"{name}x{i}", 40 * i, f"k{k}") for i in range(40) for k in {i % keys, i * 7 % keys}]
+    left, right = side("p", 25, 4), side("e", 25, 4)
+    want = {w: {(a, b) for a, t, k in left for b, at, m in right if k == m and t is not None and at is not None and abs(t - at) <= w} for w in (60, 300)}
+    counts = pair_counts(*[spark.createDataFrame(x, "id string, ts long, key string") for x in (left, right)], (60, 300))
+    assert {r.window_sec: r.pairs for r in counts.collect()} == {w: len(v) for w, v in want.items()}
+    near, far = (spark.createDataFrame(sorted(want[w], key=str), "a string, b string") for w in (60, 300))
+    for one, two, a, b in ((near, far, 60, 300), (far, near, 300, 60)):
+        q = pair_quality(one, two).first()
+        if not any(None in x for x in want[300]):
+            assert window_quality(counts, a, b).first() == q
+    q = window_quality(counts, 60, 300).first()
+    assert (q.tp, q.fp, q.fn) == (len(want[60]), len(want[300]) - len(want[60]), 0)

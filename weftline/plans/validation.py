@@ -29,6 +29,14 @@ def pair_quality(want: DataFrame, have: DataFrame) -> DataFrame:
     return _ratios(j)
 
 
+def window_quality(counts: DataFrame, want: int, have: int) -> DataFrame:
+    """``pair_quality`` of the links within ``have`` seconds, held against those within ``want``; ``counts`` has
+    (window_sec, pairs). The links of the smaller window are all among those of the larger, so their numbers tell all."""
+    n = {w: F.coalesce(F.max(F.when(F.col("window_sec") == w, F.col("pairs"))), F.lit(0).cast("long")) for w in {want, have}}
+    both = n[min(want, have)]
+    return _ratios(counts.agg(both.alias("tp"), (n[have] - both).alias("fp"), (n[want] - both).alias("fn")))
+
+
 def _ratios(j: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
