@@ -291,8 +291,7 @@ SELECT txn_id, account_no, coalesce(cdr_id, '') AS cdr_id, coalesce(call_imei, '
   coalesce(ipdr_id, '') AS ipdr_id, coalesce(source_ip, '') AS source_ip FROM pay_sessions""")
 def j16(t: Tables):
     blank = F.lit("")
-    out = links.payment_sessions(t.bank, links.bank_call_links(t.case), t.cdr, links.call_session_links(t.case), t.ipdr)
-    return out.select("txn_id", "account_no", *[F.coalesce(c, blank).alias(c) for c in (
+    return links.payment_sessions(t.case).select("txn_id", "account_no", *[F.coalesce(c, blank).alias(c) for c in (
         "cdr_id", "call_imei", "ipdr_id", "source_ip")])
 
 

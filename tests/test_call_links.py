@@ -3,7 +3,7 @@
 import random
 
 from weftline.case import Case
-from weftline.operators.links import bank_call_links, pair_counts
+from weftline.operators.links import bank_call_links, call_session_links, pair_counts, payment_sessions, payments_by_device
 from weftline.plans.validation import pair_quality, window_quality
 
 
@@ -59,3 +59,33 @@ def test_pairs_are_counted_without_being_formed(spark):
             assert window_quality(counts, a, b).first() == q
     q = window_quality(counts, 60, 300).first()
     assert (q.tp, q.fp, q.fn) == (len(want[60]), len(want[300]) - len(want[60]), 0)
+
+
+def test_sessions_behind_payments(spark):
+    """Rows and counts equal to joining links, calls and sessions; repeated and missing ids, payments on two phones and without a link."""
+    rnd = random.Random(11)
+    phone = lambda: rnd.choice([None, "919000000001", "919000000002", "919000000003"])
+    at = lambda: rnd.choice([None, *range(0, 9000, 45)])
+    pay = [(rnd.choice([None, *[f"t{i}" for i in range(90)]]), f"a{i % 4}", at(), phone(), phone()) for i in range(90)]
+    calls = [(rnd.choice([None, *[f"c{i}" for i in range(50)]]), at(), phone(), phone(), f"m{rnd.randrange(3)}", f"s{rnd.randrange(3)}") for _ in range(50)]
+    sess = [(f"i{rnd.randrange(30)}", at(), phone(), f"s{rnd.randrange(3)}", rnd.choice([None, "m0", "m1"]), f"10.0.0.{rnd.randrange(2)}") for _ in range(30)]
+    case = Case(bank=spark.createDataFrame(pay, "txn_id string, account_no string, ts long, sender_phone string, receiver_phone string"),
+                cdr=spark.createDataFrame(calls, "cdr_id string, ts long, a_number string, b_number string, imei string, imsi string"),
+                ipdr=spark.createDataFrame(sess, "ipdr_id string, start_ts long, msisdn string, imsi string, imei string, source_ip string"), complaints=None, subscribers=None)
+    links = {(r.txn_id, r.cdr_id) for r in bank_call_links(case).collect()}
+    near = {(r.cdr_id, r.ipdr_id) for r in call_session_links(case).collect()}
+    want = []
+    for t, account, *_ in pay:
+        for c in [c for x, c in links if x == t and t is not None] or [None]:
+            for imei, imsi in [r[4:] for r in calls if r[0] == c and c is not None] or [(None, None)]:
+                for i in [i for x, i in near if x == c and c is not None] or [None]:
+                    for ip, other in [(r[5], r[4]) for r in sess if r[0] == i] or [(None, None)]:
+                        want.append((t, account, c, imei, imsi, i, ip, other))
+    rows = payment_sessions(case)
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(map(str, want))
+    devices = {}
+    for t, *_, i, ip, imei in want:
+        if i is not None:
+            devices.setdefault((ip, imei), set()).add(t)
+    got = {(r.source_ip, r.session_imei): r.payments for r in payments_by_device(case).collect()}
+    assert len(devices) > 3 and got == {k: len(v) for k, v in devices.items()}
