@@ -136,6 +136,24 @@ def test_toxicity(spark, messy, empty):
     assert toxicity.toxicity_report(empty, labels).count() == 0 and toxicity.toxicity_report(messy, labels.limit(0)).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_counts_and_fits_all_labelled_rows(spark, monkeypatch):
+    """More texts of a class than the 3000 that were once drawn, one of them long: each is counted, and each is in some shard and round."""
+    texts = [(i, f"word{i % 50} common" + " long" * (20000 if i == 8 else 0), "en", int(i % 3 == 0)) for i in range(13000)]
+    docs = spark.createDataFrame([t[:3] for t in texts], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(t[0], t[3]) for t in texts], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).cache()
+    mine = [t for t in texts if zlib.crc32(str(t[0]).encode()) % 4 != 2]
+    assert rows.count() == len(mine) > 9000 and rows.where("toxic = 0").count() > 6000
+    seen = toxicity.word_counts(rows)
+    assert [seen[y, toxicity.word_rows("common")[0]] for y in (0, 1)] == [sum(t[3] == y for t in mine) for y in (0, 1)]
+    assert seen[:, toxicity.word_rows("long")[0]].sum() == sum(t[0] == 8 for t in mine)
+    monkeypatch.setattr(toxicity, "SHARD", 1200)
+    used = []
+    monkeypatch.setattr(toxicity, "averaged", lambda parts: used.append(parts.where("block = 0").agg(F.sum("n"), F.count(F.lit(1))).first()) or [])
+    toxicity.learned(rows, rows.where("toxic = 0").count(), rows.where("toxic = 1").count())
+    assert sum(n for n, _ in used) == len(mine) and [k for _, k in used] == [len(mine) // 4800] * 4
+
+
 def plain_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
