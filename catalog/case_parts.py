@@ -29,7 +29,8 @@ SELECT * FROM (
   UNION ALL SELECT c.txn_id, n + 1 + o.place, 'OUTFLOW', o.txn_id, o.date || ' ' || o.time, o.amount, o.entity, came - c.amount - o.run FROM cases c JOIN onward o ON o.account_no = c.receiver_account)
 WHERE step <= 30""")
 def c5_sequence(t: Tables):
-    return rounded(cs.fund_sequence(t.bank, feed(t)))
+    found = feed(t)
+    return rounded(cs.fund_sequence(t.bank, found))
 
 
 _NEXT = """SELECT account_no, other, max(pays) AS pays FROM (SELECT account_no, coalesce(receiver_account, counterparty_name) AS other, 0 AS pays FROM f_bank

@@ -33,3 +33,15 @@ def test_sample_matches_sql(spark, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_scoring_reads_the_events_once_for_each_kind(spark):
+    """Payments, calls and sessions are written once; what the scores and the alerts read afterwards is not the events file."""
+    from catalog.base import Tables
+    from catalog.composites import scored
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    before = [df.collect() for df in (t.bank, t.cdr, t.ipdr)]
+    scored(t)
+    assert all(sorted(df.collect(), key=str) == sorted(rows, key=str) for df, rows in zip((t.case.bank, t.case.cdr, t.case.ipdr), before))
+    assert not any("events.parquet" in f for df in (t.bank, t.case.bank, t.case.cdr, t.case.ipdr) for f in df.inputFiles())
