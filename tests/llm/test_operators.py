@@ -238,6 +238,13 @@ def test_anchors_lose_no_link(spark):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 500
 
 
+def test_placed_fingerprints_are_never_broadcast(spark):
+    """Spark takes them to be as few as the fingerprints; at any size a broadcast of them must not be planned."""
+    found = simhash.links(simhash.stored(spark.range(50).select(F.xxhash64("id").alias("fingerprint"))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_importance(spark, messy, empty):
     r = random.Random(6)
     docs = spark.createDataFrame([(i, " ".join(r.choice(["good", "fine", "x"] if i % 2 else ["bad", "poor", "x"]) for _ in range(20))) for i in range(400)], "doc_id long, text string")

@@ -102,11 +102,14 @@ def placed(fingerprints: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFra
 
 
 def links(fingerprints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (src, dst) of different fingerprints at most ``threshold`` bits apart, each once, src < dst."""
+    """Pairs (src, dst) of different fingerprints at most ``threshold`` bits apart, each once, src < dst.
+
+    Spark sizes the placed rows by the fingerprints they come from, some 45 times too low; so neither side may be broadcast.
+    """
     at_home, near = placed(fingerprints, threshold)
     h, r = at_home.alias("h"), near.alias("r")
     close = (F.col("h.anchor") == F.col("r.anchor")) & (F.col("h.fp") < F.col("r.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= threshold)
-    return h.join(r, close).select(F.col("h.fp").alias("src"), F.col("r.fp").alias("dst")).distinct()
+    return h.join(r.hint("merge"), close).select(F.col("h.fp").alias("src"), F.col("r.fp").alias("dst")).distinct()
 
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +120,7 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     rows = stored(with_fingerprint(docs))
     groups = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     joined = components(stored(links(groups, threshold))).withColumnRenamed("node", "fingerprint")
-    return rows, stored(groups.join(joined, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"))
+    return rows, stored(groups.join(joined.hint("merge"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -129,8 +132,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     rows, member = grouped(docs, threshold)
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "component").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = member.join(least.hint("merge"), "component").select("fingerprint", "component_id")
+    return rows.join(named.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -141,7 +144,7 @@ def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows, member = grouped(docs, threshold)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = rows.groupBy("fingerprint").agg(F.min(order).alias("f"))
-    first = member.join(best, "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select("f.*")
+    first = member.join(best.hint("merge"), "fingerprint").groupBy("component").agg(F.min("f").alias("f")).select("f.*")
     names = ["no_id", "id", "own"]
     key = lambda ident, own: [ident.isNull().alias(names[0]), F.coalesce(ident, F.lit(0).cast("long")).alias(names[1]), own.alias(names[2])]
     # plain keys, so that join and dropDuplicates share one shuffle of the texts; as at any size, neither side is broadcast
