@@ -59,6 +59,23 @@ def test_neighbour_scores_equal_brute_force_on_many_rows_and_a_crowd(spark):
     assert np.allclose(got[clear], lof[clear], rtol=1e-3)
 
 
+def test_walks_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        read.add(1)
+        return name
+
+    pairs = [(f"n{i}", f"n{j}") for i in range(12) for j in range(20) if (i * 7 + j * 3) % 5 == 1 and i != j]
+    edges = _edges(spark, pairs).select(seen.asNondeterministic()("src").alias("src"), "dst")
+    rows = g.random_walks(edges, 3, 5).collect()
+    assert read.value == len(pairs) and {r.step for r in rows} == set(range(5))
+    walks = {(r.walk, r.step): r.node for r in rows}
+    ways = set(pairs) | {(b, a) for a, b in pairs}
+    assert all((walks[w, s - 1], n) in ways for (w, s), n in walks.items() if s) and sum(s == 0 for _, s in walks) == 3 * len({n for p in pairs for n in p})
+
+
 def test_forest_draws_from_the_whole_table(spark):
     x = spark.range(20_000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("account_no"), F.rand(1).alias("f"))
     drawn = ml.tree_samples(x, ["f"], "account_no", 40, 512, 42)
