@@ -65,3 +65,16 @@ def test_trace_forms_no_pairs_before_its_result(spark):
     """The search itself holds one row per node and block, however many seeds there are."""
     _, _, edges, asked = messy(spark)
     assert g.reach(asked, edges).levels.count() == edges.selectExpr("explode(array(src, dst)) n").where("n <> 'unknown'").distinct().count()
+
+
+def test_totals_need_no_last_layer(spark):
+    rows, seeds, edges, asked = messy(spark)
+    _, touched = plain(rows, seeds)
+    want = {}
+    for (s, *_), (_, amount) in touched.items():
+        n, total = want.get(s, (0, 0.0))
+        want[s] = n + 1, total + amount
+    reached = g.reach(asked, edges, 2)
+    assert "l3" not in reached.levels.columns
+    assert {r["seed"]: (r["edges"], r["total"]) for r in g.reached_totals(reached, edges, 2).collect()} == want
+    assert "bit_or(l0" not in g.reached_totals(reached, edges, 2)._jdf.queryExecution().optimizedPlan().toString()
